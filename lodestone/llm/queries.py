@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op5_simhash": "simhash",
 }
 
 
