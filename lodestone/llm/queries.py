@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op1_decontaminate": "decontaminate",
     "op5_simhash": "simhash",
+    "op6_pii": "pii",
 }
 
 
