@@ -6,6 +6,8 @@ import importlib
 
 _MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op3_quality": "quality",
+    "op4_langid": "langid",
     "op5_simhash": "simhash",
     "op6_pii": "pii",
 }
