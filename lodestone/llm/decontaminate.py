@@ -324,6 +324,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, block_
     return arrow_map(hits.select("doc_id", "n_words", "items", "spans"), _finish, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, block_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Rows of ``docs`` without a hit; all columns stay as they are.
+
+    Verdicts belong to rows by a number that is written with them, so ids may
+    be null or repeat.
+    """
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    marked = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    index = build_index(marked, key=row)
+    hits = None
+    for block in item_blocks(benchmark, most=block_bytes):
+        part = phrase_matches(index, phrases(block, n)).select(F.col("doc_id").alias(row))
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return docs
+    return marked.join(hits.distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 

@@ -10,6 +10,7 @@ _MODULES = {
     "op4_langid": "langid",
     "op5_simhash": "simhash",
     "op6_pii": "pii",
+    "op10_sentencepiece": "sentencepiece_codec",
 }
 
 

@@ -167,10 +167,15 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return arrow_map(met, run, "u bigint, v bigint")
 
 
+def groups_of(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of every linked fingerprint among the distinct ones in column fp."""
+    return stored(components(links(stored(fps, "distinct"), radius)), "roots")
+
+
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``docs`` (doc_id, fp); component_id is the smallest doc_id reachable."""
-    least = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = stored(components(links(least.select("fp"), radius)), "roots")
+    least = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    roots = groups_of(least.select("fp"), radius)
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "least")
     ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = roots.join(ids, "root").select("node", "component_id")
@@ -192,3 +197,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays, and of equal ids one row.
+
+    Rows with a null doc_id stay only if their group has no other row.
+    All columns stay as they are, whatever their names.
+    """
+    own, row = "__fp", "__row"
+    while {own, row} & set(docs.columns):
+        own, row = own + "_", row + "_"
+    # Row numbers are written with the rows, so that they are the same in every later read.
+    marked = stored(with_fingerprint(docs, to=own).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    ids = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(own).alias("fp"), F.col(row).alias("row"))
+    first = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    groups = groups_of(first.select("fp"), radius)
+    # Of a group's fingerprints, those that are not linked are groups of their own.
+    winners = first.join(groups, first.fp == groups.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(stored(winners, "kept"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
