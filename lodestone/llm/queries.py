@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_quality": "quality",
     "op4_langid": "langid",
     "op5_simhash": "simhash",
