@@ -11,6 +11,8 @@ _MODULES = {
     "op4_langid": "langid",
     "op5_simhash": "simhash",
     "op6_pii": "pii",
+    "op7_toxicity": "toxicity",
+    "op8_licenses": "licenses",
     "op10_sentencepiece": "sentencepiece_codec",
 }
 
