@@ -13,6 +13,7 @@ _MODULES = {
     "op6_pii": "pii",
     "op7_toxicity": "toxicity",
     "op8_licenses": "licenses",
+    "op9_html": "wrappers",
     "op10_sentencepiece": "sentencepiece_codec",
 }
 
