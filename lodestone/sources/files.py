@@ -18,7 +18,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines, ordered by file and by row number within the scan."""
     rows = spark.read.text(path)
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return rows.select("value", order.alias(ORDER)).where(F.trim("value") != "")
+    filled = F.col("value").rlike(r"\S")
+    # A predicate above may be evaluated together with this one, so blank lines are also made null.
+    return rows.select(F.when(filled, F.col("value")).alias("value"), order.alias(ORDER)).where("value IS NOT NULL")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -23,9 +23,19 @@ from ..plans.pipeline import Context, Frame
 RETENTION = 100_000
 TRIM_AT = 125_000
 
-EVENT = T.StructType.fromDDL(
-    "seq bigint, operationType string, clusterTime timestamp, wallTime timestamp, ns struct<db:string,coll:string>, `to` struct<db:string,coll:string>, "
-    "documentKey string, fullDocument string, fullDocumentBeforeChange string, updateDescription struct<updatedFields:map<string,string>,removedFields:array<string>>"
+_NAMESPACE = T.StructType().add("db", "string").add("coll", "string")
+EVENT = (
+    T.StructType()
+    .add("seq", "long")
+    .add("operationType", "string")
+    .add("clusterTime", "timestamp")
+    .add("wallTime", "timestamp")
+    .add("ns", _NAMESPACE)
+    .add("to", _NAMESPACE)
+    .add("documentKey", "string")
+    .add("fullDocument", "string")
+    .add("fullDocumentBeforeChange", "string")
+    .add("updateDescription", T.StructType().add("updatedFields", T.MapType(T.StringType(), T.StringType())).add("removedFields", T.ArrayType(T.StringType())))
 )
 KINDS = ("insert", "update", "replace", "delete", "create", "drop", "dropDatabase", "rename", "invalidate")
 
