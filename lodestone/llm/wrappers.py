@@ -117,7 +117,7 @@ def tokens(page: str) -> list[Token]:
         around = tuple(stack)
         out.append(("open", signature, around))
         number += 1
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID:
             continue
         if name in RAW:  # nothing inside is markup
             end = _RAW_END[name].search(page, at)
