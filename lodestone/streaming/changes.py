@@ -9,6 +9,7 @@ stream begins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -63,14 +64,25 @@ class ChangeLog:
         return self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
     def append(self, events: DataFrame) -> int:
-        """Write events that have the log's columns and a ``seq``, or get the next numbers in the order of ``seq``-less rows' ``__ord``."""
-        start = self.last()
+        """Write events that have the log's columns; without ``seq`` they get the next numbers, in the order of ``__ord`` if they have it.
+
+        Numbers come from each partition's size, not from one global window;
+        the rows are written once before, so that both readings agree.
+        """
         if "seq" not in events.columns:
-            # Numbers are given by partition offsets, not by one global window.
-            rows = events.orderBy(ORDER) if ORDER in events.columns else events
-            numbered = rows.rdd.zipWithIndex().map(lambda p: (p[1],) + tuple(p[0]))
-            schema = T.StructType([T.StructField("seq", T.LongType()), *rows.schema.fields])
-            events = self.spark.createDataFrame(numbered, schema).withColumn("seq", F.col("seq") + start + 1)
+            rows = events.orderBy(ORDER).drop(ORDER) if ORDER in events.columns else events
+            place = F.monotonically_increasing_id()
+            staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+            rows.select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row")).write.parquet(staged)
+            rows = self.spark.read.parquet(staged)
+            total, begins = self.last() + 1, {}
+            for r in rows.groupBy("__part").count().orderBy("__part").collect():  # one row for each partition
+                begins[r["__part"]] = total
+                total += r["count"]
+            if not begins:
+                return self.last()
+            begin = F.create_map(*[F.lit(x).cast("bigint") for pair in begins.items() for x in pair])
+            events = rows.withColumn("seq", begin[F.col("__part")] + F.col("__row")).drop("__part", "__row")
         have = set(events.columns)
         shaped = events.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT.fields])
         shaped.write.mode("append").json(f"{self.path}/events")

@@ -107,6 +107,17 @@ def test_change_log(spark, tmp_path):
         ChangeLog(spark, str(tmp_path / "log"), retention=1).watch(after=start)
 
 
+def test_append_numbers_events_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    log.record("create", "app", "c")
+    events = spark.range(100).repartition(5).select(F.lit("insert").alias("operationType"), F.struct(F.lit("app").alias("db"), F.lit("c").alias("coll")).alias("ns"), F.col("id").cast("string").alias("documentKey"), F.struct((-F.col("id")).alias("o")).alias("__ord"))
+    assert log.append(events) == 101
+    assert [r["documentKey"] for r in log.events().where("seq > 1").orderBy("seq").collect()] == [str(99 - i) for i in range(100)]
+    assert log.append(events.limit(0)) == 101
+
+
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path / "log"))
     log.record("insert", "app", "c", 1, {"_id": 1})
