@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, mix, pieces, prefix_hash, range_hash, stored, table
+from .common import arrow_map, mix, owner, pieces, prefix_hash, range_hash, stored, table
 
 SPAN = 400
 Q = 64
@@ -46,12 +46,13 @@ _RUNS = "sha binary, lo int, hi int"
 
 
 def anchors(buf: np.ndarray, at: np.ndarray, span: int = SPAN, q: int = Q) -> tuple[np.ndarray, ...]:
-    """Anchors of all documents: document, position, gram hash, and bytes of the hull to its left and right (anchor included)."""
+    """Anchors of all documents: document, position, gram hash, bytes of the hull to its left and right (anchor included), and the hull's hash."""
     n = len(buf)
     width = span - q + 1  # grams in a string
     empty = np.zeros(0, np.int64)
+    none = empty, empty, np.zeros(0, np.uint64), empty, empty, np.zeros(0, np.uint64)
     if n < span:
-        return empty, empty, np.zeros(0, np.uint64), empty, empty, np.zeros(0, np.uint64)
+        return none
     sums = prefix_hash(buf)
     i = np.arange(n - q + 1)
     gram = range_hash(sums, i, i + q)
@@ -64,36 +65,45 @@ def anchors(buf: np.ndarray, at: np.ndarray, span: int = SPAN, q: int = Q) -> tu
     behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - span + 1
     least = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-    length = np.diff(at)
-    doc = np.repeat(np.arange(len(at) - 1), length)[:windows]
-    inside = np.arange(windows) + span <= at[doc + 1]
-    # Runs of windows with the same least gram point at its first place in them; a later window may
-    # have lost that place and points at the next one, so places of equal grams are walked in order.
-    start = np.flatnonzero(inside)
-    if not len(start):
-        return empty, empty, np.zeros(0, np.uint64), empty, empty, np.zeros(0, np.uint64)
-    minima = np.flatnonzero(np.isin(gram, np.unique(least[start])))
-    order = np.lexsort((minima, gram[minima]))
-    keys, places = gram[minima][order], minima[order]
-    bucket_lo = np.searchsorted(keys, least[start], "left")
-    bucket_hi = np.searchsorted(keys, least[start], "right")
-    place = _first_at_least(places, bucket_lo, bucket_hi, start)
-    edge = np.concatenate(([True], (place[1:] != place[:-1]) | (doc[start][1:] != doc[start][:-1])))
-    first = start[edge]
-    last = start[np.concatenate((edge[1:], [True]))]
-    pos = place[edge]
-    return doc[first], pos, gram[pos], pos - first, last + span - pos, range_hash(sums, first, last + span)
-
-
-def _first_at_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each range [lo, hi) of rising values, the first value that is at least ``least``."""
-    lo, hi = lo.copy(), hi.copy()
-    while (lo < hi).any():
-        mid = (lo + hi) >> 1
-        low = (lo < hi) & (values[np.minimum(mid, len(values) - 1)] < least)
-        hi = np.where((lo < hi) & ~low, mid, hi)
-        lo = np.where(low, mid + 1, lo)
-    return values[lo]
+    # Runs of windows of one document that have the same least gram.
+    edge = np.zeros(windows, bool)
+    edge[0] = True
+    edge[1:] = least[1:] != least[:-1]
+    edge[at[:-1][at[:-1] < windows]] = True
+    ends = at[1:] - span + 1  # first window that leaves its document
+    edge[ends[(ends >= 0) & (ends < windows)]] = True
+    lo = np.flatnonzero(edge)
+    hi = np.append(lo[1:], windows) - 1
+    doc = owner(at, lo)
+    inside = lo + span <= at[doc + 1]
+    lo, hi, doc = lo[inside], hi[inside], doc[inside]
+    if not len(lo):
+        return none
+    # Places of these least grams: a small table of bits drops nearly all others before the exact test.
+    values, rank = np.unique(least[lo], return_inverse=True)
+    bits = np.zeros(1 << 20, bool)
+    bits[(values >> np.uint64(44)).astype(np.int64)] = True
+    places = np.flatnonzero(bits[(gram >> np.uint64(44)).astype(np.int64)])
+    which = np.minimum(np.searchsorted(values, gram[places]), len(values) - 1)
+    good = values[which] == gram[places]
+    keys = np.sort((which[good].astype(np.int64) << 32) | places[good])
+    # A window points at the first place of its least gram in it, so a run is cut behind each such place.
+    a = np.searchsorted(keys, (rank.astype(np.int64) << 32) | lo)
+    b = np.searchsorted(keys, (rank.astype(np.int64) << 32) | (hi + width - 1), "right")
+    count = b - a
+    run = np.repeat(np.arange(len(lo)), count)
+    index = np.repeat(a - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    pos = keys[index] & 0xFFFFFFFF
+    before = np.where(index > a[run], keys[np.maximum(index - 1, 0)] & 0xFFFFFFFF, -1)
+    first, last = np.maximum(lo[run], before + 1), np.minimum(hi[run], pos)
+    some = first <= last
+    run, pos, first, last = run[some], pos[some], first[some], last[some]
+    # Runs that only a document's end or another run's begin cut apart, but point at one place, are one hull.
+    fresh = np.concatenate(([True], (pos[1:] != pos[:-1]) | (first[1:] != last[:-1] + 1) | (doc[run][1:] != doc[run][:-1])))
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(pos)) - 1
+    run, pos, first, last = run[head], pos[head], first[head], last[tail]
+    return doc[run], pos, gram[pos], pos - first, last + span - pos, range_hash(sums, first, last + span)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,7 @@ def refine(suffixes: np.ndarray) -> np.ndarray:
     grams = suffixes.view(">u8")
     order = np.arange(len(grams))
     bucket = np.zeros(len(grams), np.int64)  # identifier: place of the bucket's first row
-    live = order  # places in order whose bucket holds several rows
+    live = order.copy()  # places in order whose bucket holds several rows
     for k in range(grams.shape[1]):
         rows = order[live]
         by = np.lexsort((grams[rows, k], bucket[live]))
@@ -149,10 +159,8 @@ def refine(suffixes: np.ndarray) -> np.ndarray:
         word, old = grams[rows[by], k], bucket[live]
         new = np.concatenate(([True], (word[1:] != word[:-1]) | (old[1:] != old[:-1])))
         bucket[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
-        own = bucket[live]
         alone = new & np.concatenate((new[1:], [True]))
         live = live[~alone]
-        del own
         if not len(live):
             break
     return order
@@ -329,3 +337,19 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int =
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5(substring(h, 2 * p + 1, {2 * SPAN})) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {SPAN - 1})) AS p FROM d)),
+t AS (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM w),
+s AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {SPAN} THEN 0 ELSE 1 END AS fresh FROM t WHERE n > 1),
+i AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM s),
+x AS (SELECT r, run, min(p) AS lo, max(p) + {SPAN} AS hi FROM i GROUP BY r, run),
+y AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS after FROM x),
+c AS (SELECT y.r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substring(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (lo - after) AS BIGINT)), '' ORDER BY lo) AS head
+  FROM y JOIN d USING (r) GROUP BY y.r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substring(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
