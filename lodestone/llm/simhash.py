@@ -202,17 +202,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays, and of equal ids one row.
 
-    Rows with a null doc_id stay only if their group has no other row.
+    Rows with a null doc_id stay only if their group has no other row.  Rows
+    with the same id and text are one document.
     All columns stay as they are, whatever their names.
     """
-    own, row = "__fp", "__row"
-    while {own, row} & set(docs.columns):
-        own, row = own + "_", row + "_"
-    # Row numbers are written with the rows, so that they are the same in every later read.
-    marked = stored(with_fingerprint(docs, to=own).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
-    ids = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(own).alias("fp"), F.col(row).alias("row"))
-    first = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    name = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    marked = with_fingerprint(docs.select(F.col("doc_id").alias("id"), name.alias("digest"), F.col("text").cast("string").alias("text")))
+    ids = stored(marked.select("id", "digest", "fp"), "fingerprints")
+    first = ids.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("first"))
     groups = groups_of(first.select("fp"), radius)
-    # Of a group's fingerprints, those that are not linked are groups of their own.
-    winners = first.join(groups, first.fp == groups.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return marked.join(stored(winners, "kept"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Fingerprints that are not linked are groups of their own.
+    winners = first.join(groups, first.fp == groups.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    winners = stored(winners.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest")), "kept")
+    own = "__own"
+    while own in docs.columns:
+        own += "_"
+    kept = docs.withColumn(own, name).join(winners, F.col(own).eqNullSafe(F.col("__digest")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
