@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 ARROW_ROWS = 1000
 
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by documents: each row of the stored table is one
-block of about two megabytes of text and holds the block's own vocabulary
+block of about 1.5 megabytes of text and holds the block's own vocabulary
 and, for every term, the sorted positions of its occurrences (postings).
 Building it needs no shuffle, and a frequent term or a hot source is spread
 over all blocks.  Positions run through a block with a gap between documents,
@@ -34,8 +34,11 @@ ITEM_BYTES = 4_000_000
 #: Candidates that one intersection holds at a time.
 CHUNK = 1_000_000
 
-INDEX = "bid string, doc_ids array<bigint>, doc_at binary, n_words binary, term_hash binary, term_text binary, term_at binary, post_at binary, postings binary"
-HITS = "bid string, doc int, doc_id bigint, n_words bigint, items array<string>, spans array<int>"
+#: Text of one block of the index.
+BLOCK_BYTES = 1_500_000
+
+INDEX = "bid string, doc_ids array<KEY>, n_words binary, term_text binary, term_size binary, post_count binary, postings binary"
+HITS = "bid string, doc int, doc_id KEY, n_words bigint, items array<string>, spans array<int>"
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
 
 
@@ -55,49 +58,59 @@ def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def _index_piece(ids: pa.Array, buf: np.ndarray, at: np.ndarray) -> list:
+def _packed(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), kind)
+
+
+def _index_piece(buf: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Words of each document, and the terms in the order of their hashes: texts, lengths, numbers and steps between postings."""
     low, lo, hi, doc, h = tokens(buf, at)
-    n_docs = len(at) - 1
-    counts = np.bincount(doc, minlength=n_docs)
-    doc_at = np.concatenate(([0], np.cumsum(counts + 1)))  # positions of a document begin here; one is left free after each
-    place = np.arange(len(lo)) + doc
     order = np.argsort(h, kind="stable")
     hs = h[order]
     first = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.zeros(0, np.int64)
     one = order[first]
     size = hi[one] - lo[one]
-    words = low[ranges(lo[one], size)]
-    return [uuid.uuid4().hex, ids, doc_at.astype(np.int32), counts.astype(np.int32), hs[first], words, np.concatenate(([0], np.cumsum(size))).astype(np.int32), np.concatenate((first, [len(hs)])).astype(np.int32), place[order].astype(np.int32)]
+    place = (np.arange(len(lo)) + doc)[order]  # one place is left free after each document
+    arrays = (np.bincount(doc, minlength=len(at) - 1), low[ranges(lo[one], size)], size, np.diff(np.append(first, len(hs))), np.diff(place, prepend=0))
+    return [_packed(a if a.dtype == np.uint8 else a.astype(np.int32)) for a in arrays]
 
 
-def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", kind: str = "bigint") -> DataFrame:
     """The stored positional index of ``docs``; one row for each block of documents.
 
-    Null and empty texts are documents without words; a null key stays null.
+    kind: SQL type of the key, bigint or string.  Null and empty texts are documents without words; a null key stays null.
     Only the two named columns are read, so others may have any name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, at in pieces(batches, "text"):
-            bid, ids, *arrays = _index_piece(rows.column(0), buf, at)
+        for rows, buf, at in pieces(batches, "text", BLOCK_BYTES):
+            ids = rows.column(0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bid]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)],
-                names=["bid", "doc_ids", "doc_at", "n_words", "term_hash", "term_text", "term_at", "post_at", "postings"],
+                [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([a], pa.binary()) for a in _index_piece(buf, at))],
+                names=["bid", "doc_ids", "n_words", "term_text", "term_size", "post_count", "postings"],
             )
 
-    return stored(arrow_map(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), run, INDEX), "index")
+    return stored(arrow_map(docs.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text")), run, INDEX.replace("KEY", kind)), "index")
 
 
 class Block:
     """One row of the index, ready for look-ups."""
 
     def __init__(self, row: dict):
-        of = lambda name, kind: np.frombuffer(row[name], kind)
         self.bid, self.ids = row["bid"], row["doc_ids"]
-        self.doc_at, self.n_words = of("doc_at", np.int32).astype(np.int64), of("n_words", np.int32)
-        self.hash, self.text, self.text_at = of("term_hash", np.uint64), row["term_text"], of("term_at", np.int32)
-        self.post_at, self.postings = of("post_at", np.int32).astype(np.int64), of("postings", np.int32).astype(np.int64)
-        self.count = np.diff(self.post_at)
+        self.n_words = _unpacked(row["n_words"], np.int32)
+        self.doc_at = np.concatenate(([0], np.cumsum(self.n_words.astype(np.int64) + 1)))
+        letters = _unpacked(row["term_text"], np.uint8)
+        self.text, self.text_at = letters.tobytes(), np.concatenate(([0], np.cumsum(_unpacked(row["term_size"], np.int32).astype(np.int64))))
+        self.hash = range_hash(prefix_hash(letters), self.text_at[:-1], self.text_at[1:])  # rising, as the terms were laid down
+        self.count = _unpacked(row["post_count"], np.int32).astype(np.int64)
+        self.post_at = np.concatenate(([0], np.cumsum(self.count)))
+        self.postings = np.cumsum(_unpacked(row["postings"], np.int32).astype(np.int64))
         self.keys = (np.repeat(np.arange(len(self.hash)), self.count) << 32) | self.postings  # rising
 
     def find(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -209,6 +222,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 def phrase_matches(index: DataFrame, q: Phrases, everyone: bool = False) -> DataFrame:
     """Exact matches of ``q`` by document: the items found and the merged ranges of words hit."""
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    to = pa.string() if kind == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches):
@@ -217,7 +232,7 @@ def phrase_matches(index: DataFrame, q: Phrases, everyone: bool = False) -> Data
                 [
                     pa.array([block.bid] * len(rows), pa.string()),
                     pa.array([d for d, _, _ in rows], pa.int32()),
-                    pa.array([block.ids[d] for d, _, _ in rows], pa.int64()),
+                    pa.array([block.ids[d] for d, _, _ in rows], to),
                     pa.array([int(block.n_words[d]) for d, _, _ in rows], pa.int64()),
                     pa.array([i for _, i, _ in rows], pa.list_(pa.string())),
                     pa.array([s for _, _, s in rows], pa.list_(pa.int32())),
@@ -226,7 +241,7 @@ def phrase_matches(index: DataFrame, q: Phrases, everyone: bool = False) -> Data
             )
 
     # A row is a whole block already: a few rows make an Arrow batch large enough.
-    return arrow_map(index, run, HITS)
+    return arrow_map(index, run, HITS.replace("KEY", kind))
 
 
 def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], slop: int) -> DataFrame:
@@ -327,21 +342,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, block_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, block_bytes: int = ITEM_BYTES) -> DataFrame:
     """Rows of ``docs`` without a hit; all columns stay as they are.
 
-    Verdicts belong to rows by a number that is written with them, so ids may
-    be null or repeat.
+    The verdict on a text belongs to all its copies, so hits are named by the
+    text's digest; ids may be null or repeat.
     """
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    marked = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    index = build_index(marked, key=row)
+    name = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    index = build_index(docs.select(name.alias("digest"), "text"), key="digest", kind="string")
     hits = None
     for block in item_blocks(benchmark, most=block_bytes):
-        part = phrase_matches(index, phrases(block, n)).select(F.col("doc_id").alias(row))
+        part = phrase_matches(index, phrases(block, n)).select(F.col("doc_id").alias("__digest"))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs
-    return marked.join(hits.distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(stored(hits.distinct(), "hits"), name == F.col("__digest"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
