@@ -68,14 +68,14 @@ def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 def tokens(page: str) -> list[Token]:
-    """Tags and texts of a page.  Each has the elements around it: (signature, dropped, article, name, number)."""
+    """Tags and texts of a page, texts of white space alone included.  Each has the elements around it: (signature, dropped, article, name, number)."""
     out: list[Token] = []
     stack: list[tuple] = []
     around: tuple = ()
     at = number = 0
 
     def text(raw: str) -> None:
-        if raw and not raw.isspace():
+        if raw:
             out.append(("text", html_lib.unescape(raw), around))
 
     while at < len(page):
@@ -193,7 +193,7 @@ def infer(pages: list[str]) -> list[Node]:
     """Wrapper of the pages of one host; empty for no pages."""
     wrapper: list[Node] | None = None
     for page in pages:
-        nodes = fold([[kind, _key(kind, value, around), " ".join(value.split()) if kind == "text" else None, int(kind == "text"), []] for kind, value, around in tokens(page)])
+        nodes = fold([[kind, _key(kind, value, around), " ".join(value.split()) if kind == "text" else None, int(kind == "text"), []] for kind, value, around in tokens(page) if kind != "text" or not value.isspace()])
         wrapper = nodes if wrapper is None else align(wrapper, nodes)
     return wrapper or []
 
@@ -254,6 +254,10 @@ def main_text(page: str, shared: set[tuple[str, str]]) -> str:
             continue
         if not articles and (_key(kind, value, around), " ".join(value.split())) in shared:
             continue
+        if value.isspace():
+            if blocks and not fresh:
+                blocks[-1].append(" ")
+            continue
         holder = tuple(e[4] for e in around if e[3] not in INLINE)
         if fresh or holder != current:
             blocks.append([])

@@ -116,6 +116,12 @@ def test_main_text():
     assert len(wrappers.main_text("<p>" + "word " * 100_000, set())) == 499_999
 
 
+def test_white_space_between_inline_elements():
+    assert wrappers.main_text("<article><p>see <b>one</b> <i>two</i>\n<a href=/>three</a>&#32;<b>four</b></p> <p> five</p> </article>", set()) == "see one two three four\nfive"
+    assert wrappers.main_text("<div> <p><b>a</b>\n\t<b>b</b><b>c</b></p> </div>", set()) == "a bc"
+    assert wrappers.expression(wrappers.infer(["<p> <b>x</b> </p>"])) == "<p> <b> 'x' </b> </p>"
+
+
 def test_wrapper_inference():
     pages = [PAGE.format(f"<article><h1>T{i}</h1>" + "<p>text %d</p>" * (i + 1) % tuple(range(i + 1)) + ("<blockquote>q</blockquote>" if i == 1 else "") + "</article>") for i in range(3)]
     regex = wrappers.expression(wrappers.infer(pages))
