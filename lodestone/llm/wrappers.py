@@ -12,17 +12,22 @@ tokens that only one side has become optional.
 Every node keeps the open elements around it.  They, and whether a text is
 the same on different pages, tell the main text from what surrounds it.
 
-A wrapper is inferred from a bounded number of pages of its host: one of
-least hash for each of ``SALTS`` salts, so that a host with a third of all
-pages costs no more than any other.  All pages are extracted, each from its
-whole html; what a page has and its wrapper lacks is judged by the same rules.
+Which blocks of text belong to a host's template is counted over all its
+pages: a block is a constant if it fills the same place (the elements around
+it) on at least a share of the host's different pages that have the place.
+The counts are aggregates with partial results, so a host with a third of all
+pages is no task of its own.  All pages are extracted, each from its whole html.
+
+The wrapper as an expression (``infer_wrappers``) is inferred by alignment of
+at most ``SALTS`` pages of a host; it describes the host and decides no text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -30,12 +35,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, stored, table
 
-#: Pages of a host that its wrapper is inferred from, at most.
+#: Pages of a host that its expression is inferred from, at most.
 SALTS = 8
 #: Tokens of the largest group that folding looks for.
 GROUP = 12
 #: Pages on which a text outside an article must recur to count as part of the template.
 RECURRING = 2
+#: Share of the host's pages with a place outside an article on which a block must fill it to count as part of the template.
+SHARE = 0.2
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -226,15 +233,14 @@ def has_article(wrapper: list[Node]) -> bool:
     return any(("article" in n[1] or "main" in n[1]) and n[0] == "open" or has_article(n[4]) for n in wrapper)
 
 
-def main_text(page: str, shared: set[tuple[str, str]]) -> str:
-    """Blocks of the main text.
+def _blocks(page: str) -> tuple[list[tuple[str, str, int, int]], bool]:
+    """Blocks of a page outside dropped elements, and whether it has an article, outside of which it is not read.
 
-    Inside an article every text counts that no dropped element encloses.  A
-    page without an article is read outside its dropped elements, without
-    texts of the template and without lists that are links alone.
+    A block is (its place, text, characters within links, characters).
     """
     found = tokens(page)
     articles = any(e[2] for _, _, around in found for e in around)
+    places: list[str] = []
     blocks: list[list[str]] = []
     links: list[tuple[int, int]] = []  # characters within links, and all
     current: tuple | None = None
@@ -252,24 +258,80 @@ def main_text(page: str, shared: set[tuple[str, str]]) -> str:
             continue
         if articles and not any(e[2] for e in around):
             continue
-        if not articles and (_key(kind, value, around), " ".join(value.split())) in shared:
-            continue
         if value.isspace():
             if blocks and not fresh:
                 blocks[-1].append(" ")
             continue
-        holder = tuple(e[4] for e in around if e[3] not in INLINE)
+        outer = tuple(e for e in around if e[3] not in INLINE)
+        holder = tuple(e[4] for e in outer)
         if fresh or holder != current:
+            places.append(_key(kind, value, outer))
             blocks.append([])
             links.append((0, 0))
             current, fresh = holder, False
         blocks[-1].append(value)
         inside = len(value) if any(e[3] == "a" for e in around) else 0
         links[-1] = (links[-1][0] + inside, links[-1][1] + len(value))
-    texts = [" ".join("".join(b).split()) for b in blocks]
+    return [(p, t, a, n) for p, b, (a, n) in zip(places, blocks, links, strict=True) if (t := " ".join("".join(b).split()))], articles
+
+
+def main_text(page: str, shared: Set[tuple[str, str]]) -> str:
+    """Blocks of the main text.
+
+    Inside an article every block counts that no dropped element encloses.  A
+    page without an article is read outside its dropped elements, without
+    blocks of the template (``shared``: place and text) and without lists that
+    are links alone.
+    """
+    blocks, articles = _blocks(page)
     if not articles:
-        texts = [t for t, (a, n) in zip(texts, links, strict=True) if a < n]
-    return "\n".join(t for t in texts if t)
+        blocks = [(p, t, a, n) for p, t, a, n in blocks if a < n and (p, t) not in shared]
+    return "\n".join(t for _, t, _, _ in blocks)
+
+
+# --- what recurs on the pages of a host --------------------------------------
+
+
+def _digest(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Digests(frozenset):
+    """(place, text) pairs known by their digests."""
+
+    def __contains__(self, pair: tuple[str, str]) -> bool:
+        return bool(self) and super().__contains__(_digest(*pair))
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of every page's places, and of its blocks with their places."""
+    for b in batches:
+        hosts, pages, places, texts = [], [], [], []
+        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            blocks, articles = _blocks(html)
+            if articles:
+                continue
+            page = _digest(html)
+            pairs = {(_digest(p), _digest(p, t)) for p, t, _, _ in blocks}
+            rows = [*pairs, *((p, None) for p in {p for p, _ in pairs})]
+            hosts += [host] * len(rows)
+            pages += [page] * len(rows)
+            places += [p for p, _ in rows]
+            texts += [t for _, t in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64())], names=["host", "place", "block", "page"])
+
+
+def template_blocks(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = RECURRING) -> DataFrame:
+    """(host, blocks): digests of the blocks that belong to each host's template, from all its pages.
+
+    Copies of a page (the same html) count once.
+    """
+    page = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = arrow_map(page, _place_rows, "host string, place bigint, block bigint, page bigint").distinct()
+    counts = stored(rows.groupBy("host", "place", "block").agg(F.count("*").alias("n")).where(F.col("n") >= least), "places")
+    whole = counts.where("block IS NULL").select("host", "place", F.col("n").alias("of"))
+    kept = counts.where("block IS NOT NULL").join(whole, ["host", "place"]).where(F.col("n") >= share * F.col("of"))
+    return kept.groupBy("host").agg(F.collect_list("block").alias("blocks"))
 
 
 def _wrapper_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +369,18 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are extracted each; an empty table gives an empty result;
     other columns are not read.
     """
-    wrappers = stored(infer_wrappers(pages).select(F.col("host").alias("of"), "paths", "texts"), "wrappers")
+    templates = stored(template_blocks(pages).withColumnRenamed("host", "of"), "templates")
     each = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
-    joined = each.join(wrappers, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "paths", "texts")
+    joined = each.join(templates, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shared = (set(zip(p or (), t or (), strict=True)) for p, t in zip(b.column("paths").to_pylist(), b.column("texts").to_pylist(), strict=True))
-            found = [main_text(page, own) for page, own in zip(b.column("html").to_pylist(), shared, strict=True)]
+            own: dict[str, Digests] = {}
+            hosts, blocks = b.column("host").to_pylist(), b.column("blocks")
+            for k, host in enumerate(hosts):
+                if host not in own:
+                    own[host] = Digests(blocks[k].as_py() or ())
+            found = [main_text(page, own[host]) for page, host in zip(b.column("html").to_pylist(), hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

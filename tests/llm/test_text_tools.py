@@ -132,6 +132,21 @@ def test_wrapper_inference():
     assert wrappers.main_text("<div><p>Same line</p><p>own 9</p></div>", shared) in ("own 9", "Same line\nown 9")
 
 
+def extracted(spark, htmls):
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.extract(df).orderBy("page_id").collect()]
+
+
+def test_templates_come_from_all_pages_of_a_host(spark):
+    pages = ["<div><p>Same line</p><p>own %d</p></div>" % i for i in range(10)]
+    pages += ["<section class='t%d'><span>Notice <b>of</b> %d</span><p>text %d, %d</p></section>" % (k, k, k, i) for k in range(30) for i in range(2)]
+    pages += ["<ul><li>twice</li></ul><i>%d</i>" % i if i < 2 else "<ul><li>item %d</li></ul><i>%d</i>" % (i, i) for i in range(20)] + ["<h2>copy</h2>"] * 5
+    got = extracted(spark, pages)
+    assert got[9] == "own 9" and got[:10] == ["own %d" % i for i in range(10)]
+    assert got[10:70] == ["text %d, %d" % (k, i) for k in range(30) for i in range(2)]
+    assert got[70] == "twice\n0" and got[75] == "item 5\n5" and got[-1] == "copy"
+
+
 def test_extract(spark):
     rows = [(i, f"http://a.example/{i}", PAGE.format(f"<article><p>body {i}</p></article>")) for i in range(30)]
     rows += [(100, None, None), (101, "nonsense", ""), (102, "https://b.example:8080/x?y#z", "<p>b</p>"), (102, "https://b.example:8080/x?y#z", "<p>b</p>")]
