@@ -43,6 +43,9 @@ GROUP = 12
 RECURRING = 2
 #: Share of the host's pages with a place outside an article on which a block must fill it to count as part of the template.
 SHARE = 0.2
+#: The same inside an article, where the tags speak for main text; and pages at least.
+ARTICLE_SHARE = 0.5
+ARTICLE_RECURRING = 3
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,14 +281,18 @@ def _blocks(page: str) -> tuple[list[tuple[str, str, int, int]], bool]:
 def main_text(page: str, shared: Set[tuple[str, str]]) -> str:
     """Blocks of the main text.
 
-    Inside an article every block counts that no dropped element encloses.  A
-    page without an article is read outside its dropped elements, without
-    blocks of the template (``shared``: place and text) and without lists that
-    are links alone.
+    A page with an article is read inside its articles, any other page whole;
+    blocks in dropped elements, blocks of the template (``shared``: place and
+    text) and, without an article, lists that are links alone do not count.
+    An article of which the template would leave less than half is a copy of
+    others, not a template, and stays whole.
     """
     blocks, articles = _blocks(page)
+    kept = [b for b in blocks if (b[0], b[1]) not in shared]
     if not articles:
-        blocks = [(p, t, a, n) for p, t, a, n in blocks if a < n and (p, t) not in shared]
+        blocks = [b for b in kept if b[2] < b[3]]
+    elif 2 * sum(len(b[1]) for b in kept) >= sum(len(b[1]) for b in blocks):
+        blocks = kept
     return "\n".join(t for _, t, _, _ in blocks)
 
 
@@ -304,33 +311,33 @@ class Digests(frozenset):
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every page's places, and of its blocks with their places."""
+    """Digests of every page's places, and of its blocks with their places; whether they are read from an article."""
     for b in batches:
-        hosts, pages, places, texts = [], [], [], []
+        hosts, pages, places, texts, insides = [], [], [], [], []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             blocks, articles = _blocks(html)
-            if articles:
-                continue
             page = _digest(html)
             pairs = {(_digest(p), _digest(p, t)) for p, t, _, _ in blocks}
             rows = [*pairs, *((p, None) for p in {p for p, _ in pairs})]
             hosts += [host] * len(rows)
             pages += [page] * len(rows)
+            insides += [articles] * len(rows)
             places += [p for p, _ in rows]
             texts += [t for _, t in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64())], names=["host", "place", "block", "page"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64()), pa.array(insides, pa.bool_())], names=["host", "place", "block", "page", "article"])
 
 
-def template_blocks(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = RECURRING) -> DataFrame:
+def template_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, blocks): digests of the blocks that belong to each host's template, from all its pages.
 
     Copies of a page (the same html) count once.
     """
     page = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = arrow_map(page, _place_rows, "host string, place bigint, block bigint, page bigint").distinct()
-    counts = stored(rows.groupBy("host", "place", "block").agg(F.count("*").alias("n")).where(F.col("n") >= least), "places")
-    whole = counts.where("block IS NULL").select("host", "place", F.col("n").alias("of"))
-    kept = counts.where("block IS NOT NULL").join(whole, ["host", "place"]).where(F.col("n") >= share * F.col("of"))
+    rows = arrow_map(page, _place_rows, "host string, place bigint, block bigint, page bigint, article boolean").distinct()
+    counts = stored(rows.groupBy("host", "place", "block", "article").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING), "places")
+    whole = counts.where("block IS NULL").select("host", "place", "article", F.col("n").alias("of"))
+    often = F.when(F.col("article"), (F.col("n") >= ARTICLE_RECURRING) & (F.col("n") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("n") >= SHARE * F.col("of"))
+    kept = counts.where("block IS NOT NULL").join(whole, ["host", "place", "article"]).where(often)
     return kept.groupBy("host").agg(F.collect_list("block").alias("blocks"))
 
 

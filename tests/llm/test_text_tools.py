@@ -147,6 +147,14 @@ def test_templates_come_from_all_pages_of_a_host(spark):
     assert got[70] == "twice\n0" and got[75] == "item 5\n5" and got[-1] == "copy"
 
 
+def test_templates_inside_articles(spark):
+    body = "<article><h1>Title %d</h1><div class=x1>Read all our <b>stories</b> here</div><p>own text %d, <a href=/>too</a></p><p>%s</p></article>"
+    got = extracted(spark, [body % (i, i, "rare" if i < 3 else f"so {i}") for i in range(9)])
+    assert got[8] == "Title 8\nown text 8, too\nso 8" and got[0] == "Title 0\nown text 0, too\nrare"
+    copies = ["<article><h1>One story</h1><p>in many copies</p></article><i>%d</i>" % i for i in range(6)]
+    assert extracted(spark, copies) == ["One story\nin many copies"] * 6
+
+
 def test_extract(spark):
     rows = [(i, f"http://a.example/{i}", PAGE.format(f"<article><p>body {i}</p></article>")) for i in range(30)]
     rows += [(100, None, None), (101, "nonsense", ""), (102, "https://b.example:8080/x?y#z", "<p>b</p>"), (102, "https://b.example:8080/x?y#z", "<p>b</p>")]
