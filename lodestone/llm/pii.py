@@ -21,7 +21,7 @@ ADDED = ("iban", "short_card", "ssn")
 KINDS = BASE + ADDED
 #: A span is kept from this score on.
 THRESHOLD = 0.5
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count.
 CONTEXT = 48
 
 
@@ -30,7 +30,7 @@ class Kind:
     """How one kind is proposed, confirmed and scored.
 
     probe: a cheap test that any text with a match passes.  score: that of a
-    confirmed span; boost: what a context word before it adds.
+    confirmed span; boost: what a context word near it adds.
     """
 
     name: str
@@ -41,13 +41,23 @@ class Kind:
     context: str = ""
 
 
+#: Length of an account number by country (ISO 13616 registry, and countries that use the format without being in it).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_IBAN += rf"|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"  # other countries: any length
+
 # Patterns, scores and context words of the kinds, in the order of the output.
 RULES = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.95),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.9),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"(?:[0-9][\x20-]?){16}", 0.9),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.8),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]", 0.8, 0.2, r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]", 0.8, 0.2, r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)"),
     Kind("short_card", r"(?<![0-9])(?:[0-9]{13,15}|3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])", r"[0-9]{5}", 0.3, 0.4, r"(?i)\b(?:card|credit|visa|amex|carte|karte|tarjeta)"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.2, 0.5, r"(?i)\b(?:ssn|social security|social insurance)"),
 )
@@ -90,7 +100,7 @@ def _confirmed(kind: str, text: Column) -> Column:
     if kind == "phone":
         return size.between(8, 15)
     if kind == "iban":
-        return F.when(F.length(F.regexp_replace(text, " ", "")).between(15, 34), mod97(text)).otherwise(False)
+        return mod97(text)
     if kind == "short_card":
         return luhn(_digits(text))
     if kind == "ssn":
@@ -119,7 +129,8 @@ def _scored(text: Column, rule: Kind) -> Column:
         value = F.lit(rule.score)
         if rule.boost:
             lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            value = value + F.when(F.substr(text, lo + 1, x["start"] - lo).rlike(rule.context), rule.boost).otherwise(0.0)
+            near = F.substr(text, lo + 1, x["start"] - lo).rlike(rule.context) | F.substr(text, x["end"] + 1, F.lit(CONTEXT)).rlike(rule.context)
+            value = value + F.when(near, rule.boost).otherwise(0.0)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("score"))
 
     kept = F.filter(F.transform(hits, score), lambda x: x["score"] >= THRESHOLD)

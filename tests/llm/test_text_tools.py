@@ -66,6 +66,14 @@ def test_checksums_context_and_redaction(spark):
     assert clean[2] is None and clean[3] == "clean"
 
 
+def test_account_numbers_before_words_and_context_after(spark):
+    texts = ["DE89370400440532013000 Please pay", "GB82WEST12345698765432 The", "DE89 3704 0044 0532 0130 00 BIC: COBADEFF", "NO9386011117947 12 NOK", "see 123-45-6789 (SSN", "378282246310005 is my card", "DE89370400440532013000X", "DE89370400440532013001 Please", "123-45-6789 alone", "GB82WEST12345698765432 DE89370400440532013000", "MT84MALT011000012345MTLCAST001S OK"]
+    want = ["iban:0:22", "iban:0:22", "iban:0:27", "iban:0:15", "ssn:4:15", "short_card:0:15", "", "", "", "iban:0:22,iban:23:45", "iban:0:31"]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert pii.redact(spark.createDataFrame([(1, texts[2])], EMPTY)).first()["text"] == "<IBAN> BIC: COBADEFF"
+
+
 def test_personal_data_of_no_rows_runs_no_python(spark):
     assert pii.detect(spark.createDataFrame([], EMPTY)).count() == 0
     plan = pii.redact(spark.range(3).selectExpr("id doc_id", "'a@b.c' text"))._jdf.queryExecution().toString()
