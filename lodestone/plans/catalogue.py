@@ -290,6 +290,19 @@ def _(db: Database) -> DataFrame:
     return got.select("_id", F.size("p").cast("bigint").alias("n"), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["p_size"]).alias("size"))
 
 
+@query(
+    "lookup_array_local_all",
+    "SELECT k AS _id, count(DISTINCT p_partkey) AS n, sum(p_size) AS size FROM (SELECT DISTINCT l_orderkey AS k, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1",
+)
+def _(db: Database) -> DataFrame:
+    stages = [
+        {"$group": {"_id": "$l_orderkey", "parts": {"$push": "$l_partkey"}}},
+        {"$lookup": {"from": "part", "localField": "parts", "foreignField": "p_partkey", "as": "p"}},
+    ]
+    got = db["lineitem"].aggregate(stages)
+    return got.select("_id", F.size("p").cast("bigint").alias("n"), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["p_size"]).alias("size"))
+
+
 @query(
     "lookup_pipeline",
     "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(sum(l_quantity), 0) AS qty FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY 1",

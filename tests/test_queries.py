@@ -28,6 +28,14 @@ def test_query(spark, sf, duck, name):
     assert plain([[r[c] for c in columns] for r in df.collect()]) == plain([[r[k] for k in order] for r in want.fetchall()])
 
 
+def test_array_lookup_covers_all_of_lineitem(spark):
+    sf = "/root/testdata/sf0.01"
+    got = catalogue.queries()["lookup_array_local_all"](spark, sf)
+    want = duckdb.sql(catalogue.oracle_sql()["lookup_array_local_all"].replace("lineitem", f"'{sf}/lineitem.parquet'").replace("part ON", f"'{sf}/part.parquet' ON")).fetchall()
+    assert plain(got.select("_id", "n", "size").collect()) == plain(want)
+    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
