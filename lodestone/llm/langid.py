@@ -8,7 +8,8 @@ penalised likelihood (Bayesian information criterion) does not fall.
 
 The n-gram counts are gathered by Spark from a bounded sample of labelled
 rows: at most about ``SAMPLE_ROWS`` rows of each language, taken by a hash of
-the document's id, and at most ``MOST_LANGUAGES`` languages, the most frequent.
+the document's id.  Every language is learned, ``BLOCK`` of them at a time;
+more than ``MOST_LANGUAGES`` are an error, none is left out.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, byte_class, owner, pieces, runs, table
+from .common import arrow_map, byte_class, owner, pieces, runs, stored, table
 
 #: Expected bound on the labelled rows of one language that the model is fitted on.
 SAMPLE_ROWS = 1500
-MOST_LANGUAGES = 64
+#: Most languages whose table (256 kB each) is held at once; more are refused.
+MOST_LANGUAGES = 1024
+#: Languages whose counts are brought to the driver at a time.
+BLOCK = 64
+#: Likelihoods (words times languages) held at a time, unless one document has more.
+CELLS = 1 << 24
 BITS = 16
 #: Weight of a uniform prior, in counts.
 ALPHA = 0.1
@@ -78,6 +84,10 @@ class Model:
     def proportions(self, gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """(n, languages): each document's language proportions, zero outside its selected set."""
         size = len(self.languages)
+        if len(lo) * size > CELLS and n > 1:
+            k, half = int(np.searchsorted(doc, n // 2)), n // 2
+            parts = ((lo[:k], hi[:k], doc[:k], half), (lo[k:], hi[k:], doc[k:] - half, n - half))
+            return np.concatenate([self.proportions(gram[a[0] : b[-1] + 1], a - a[0], b - a[0], d, m) if len(a) else np.zeros((m, size)) for a, b, d, m in parts])
         count = np.bincount(doc, minlength=n)
         has = np.flatnonzero(count)
         out = np.zeros((n, size))
@@ -137,9 +147,14 @@ def held_out(key: str = "doc_id", modulus: int = 4, rest: int = 2) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, most: int = MOST_LANGUAGES) -> Model:
-    """Model from (doc_id, text, lang); rows with a null text or lang teach nothing."""
+    """Model of all languages of (doc_id, text, lang); rows with a null text or lang teach nothing.
+
+    More than ``most`` languages are a ValueError.
+    """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    sizes = known.groupBy("lang").count().limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: their tables would not fit in memory, and none is left out")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)))
@@ -158,11 +173,20 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, most: int = MOST_LANGUAGES
                     seen = np.flatnonzero(count)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(count[seen], pa.int64())], names=["lang", "gram", "n"])
 
-    counts = arrow_map(sample, run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    number = {name: k for k, name in enumerate(languages)}
-    matrix = np.zeros((len(languages), 1 << BITS))
-    matrix[counts["lang"].map(number).to_numpy(int), counts["gram"].to_numpy(int)] = counts["n"].to_numpy(float)
-    return Model(languages, matrix)
+    counts = arrow_map(sample, run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    blocks = [languages[k : k + BLOCK] for k in range(0, len(languages), BLOCK)]
+    if len(blocks) > 1:
+        counts = stored(counts, "langid")
+    model = Model(languages, np.zeros((0, 1 << BITS)))
+    tables = []
+    for block in blocks:
+        seen = (counts.where(F.col("lang").isin(block)) if len(blocks) > 1 else counts).toPandas()
+        number = {name: k for k, name in enumerate(block)}
+        matrix = np.zeros((len(block), 1 << BITS))
+        matrix[seen["lang"].map(number).to_numpy(int), seen["gram"].to_numpy(int)] = seen["n"].to_numpy(float)
+        tables.append(Model(block, matrix).table)
+    model.table = np.concatenate(tables)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,6 +3,8 @@
 import collections
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,22 @@ def test_language_mixture(spark, docs):
     assert set(row["languages"][:2]) == {"en", "de"} and min(row["shares"][:2]) > 0.25
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda i: " ".join((letters[i % 26] + letters[(i // 26 + 3 * j) % 26] + letters[i % 26]) * 2 for j in range(3)) + " "
+    rows = [(i, words(i) * (5 if i < 64 else 3), f"l{i:02}") for i in range(70)] + [(100 + i, words(i) * 5, f"l{i:02}") for i in range(64)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(f"l{i:02}" for i in range(70)) and model.table.shape == (70, 1 << langid.BITS)
+    batch = pa.RecordBatch.from_arrays([pa.array([words(i) * 4 for i in range(70)] + ["", "!"])], names=["text"])
+    (_, gram, lo, hi, doc, _), *_ = langid._words(batch, 0)
+    whole = model.proportions(gram, lo, hi, doc, 72)
+    assert whole[:70].argmax(axis=1).tolist() == list(range(70)) and not whole[70:].any()
+    monkeypatch.setattr(langid, "CELLS", 1000)
+    assert np.allclose(model.proportions(gram, lo, hi, doc, 72), whole)
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+
+
 def test_language_without_training_rows(spark):
     got = langid.identify(spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")).first()
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
