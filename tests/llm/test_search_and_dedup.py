@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, simhash, suffix_dedup
+from lodestone.llm import common, components, decontaminate, simhash, suffix_dedup
 
 EMPTY = "doc_id long, text string"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -95,7 +95,7 @@ def test_drop_contaminated_keeps_clean_rows_whole(spark):
 
 
 def brute_cut(docs, span=400):
-    count = collections.Counter()
+    count, passages = collections.Counter(), brute_passages(docs)
     for _, t in docs:
         b = (t or "").encode()
         count.update(b[i : i + span] for i in range(len(b) - span + 1))
@@ -107,10 +107,18 @@ def brute_cut(docs, span=400):
             if count[b[i : i + span]] > 1:
                 mask[i : i + span] = b"\x01" * span
         runs = sum(1 for i, m in enumerate(mask) if m and not (i and mask[i - 1]))
-        out.append((d, len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest()))
+        out.append((d, len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest(), passages[len(out)]))
     return sorted(out, key=str)
 
 
+def brute_passages(docs, span=51):
+    """Words in passages of ``span`` words or more that also start anywhere else, by document."""
+    texts = [SOLID.findall(t or "") for _, t in docs]
+    count = collections.Counter(tuple(w[i : i + span]) for w in texts for i in range(len(w) - span + 1))
+    hit = [{k for i in range(len(w) - span + 1) if count[tuple(w[i : i + span])] > 1 for k in range(i, i + span)} for w in texts]
+    return [len(x) for x in hit]
+
+
 def repeated_texts():
     rng = random.Random(5)
     voc = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
@@ -136,11 +144,33 @@ def repeated_texts():
     return [*docs, (900, None), (901, ""), (902, docs[0][1]), (903, "x" * 399), (904, "x" * 400), (905, "y" * 401), (None, "z" * 500)]
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
-def test_repeated_strings(spark, most):
+def test_repeated_strings(spark):
     docs = repeated_texts()
-    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, sha int").repartition(4)
-    assert rows(suffix_dedup.dedup(df, most=most)) == brute_cut(docs)
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, uid int").repartition(4)
+    assert rows(suffix_dedup.dedup(df)) == brute_cut(docs)
+
+
+def test_one_bucket_holds_most_rows(spark):
+    """One anchor in all texts, with strings that part at every distance from it."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    middle, ends = noise(360), [noise(60) for _ in range(4)]
+    docs = [(i, noise(30) + rng.choice(ends)[rng.randint(0, 59) :] + middle + rng.choice(ends)[: rng.randint(1, 60)] + noise(30)) for i in range(200)]
+    assert rows(suffix_dedup.dedup(spark.createDataFrame(docs, EMPTY).repartition(5))) == brute_cut(docs)
+
+
+def test_texts_longer_than_a_piece(spark):
+    """Texts of over a megabyte, one of a single word, share a passage with short ones; white space differs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    passage, tail = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(230_000))
+    assert len(long) > common.PIECE_BYTES
+    docs = [(1, long + " " + passage + " x"), (2, "y " + passage), (3, "z" * 1_200_000), (4, tail), (5, "so " + tail.replace(" ", "  "))]
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(spark.createDataFrame(docs, EMPTY).repartition(2)).collect()}
+    assert got[1]["n_removed"] == got[2]["n_removed"] == len(passage) + 1 and got[1]["n_passage_words"] == got[2]["n_passage_words"] == 120
+    assert (got[3]["n_removed"], got[3]["n_passage_words"]) == (1_200_000, 0)
+    assert [(got[k]["n_removed"], got[k]["n_passage_words"]) for k in (4, 5)] == [(0, 60), (0, 60)]
 
 
 def test_no_repeats_and_no_rows(spark):
@@ -148,13 +178,17 @@ def test_no_repeats_and_no_rows(spark):
     assert rows(suffix_dedup.dedup(spark.createDataFrame([(1, "short"), (2, None)], EMPTY))) == brute_cut([(1, "short"), (2, None)])
 
 
-def test_bucket_refinement_sorts():
+def test_pointers_name_equal_strings_alike():
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    m = rng.integers(97, 99, (200, 24), dtype=np.uint8)
-    order = suffix_dedup.refine(m)
-    assert [m[i].tobytes() for i in order] == sorted(r.tobytes() for r in m)
+    m = np.random.default_rng(1).integers(97, 99, 400, dtype=np.uint8)
+    raw = m.tobytes()
+    for w, ids in zip((4, 8), suffix_dedup.pointers(suffix_dedup.byte_symbols(m), (4, 8)), strict=True):
+        assert len({(raw[i : i + w], int(x)) for i, x in enumerate(ids)}) == len({raw[i : i + w] for i in range(len(ids))}) == len(set(ids.tolist()))
+    for size in (4, 7, 8, 16):
+        at = np.arange(len(m) - size)
+        ids = suffix_dedup.pointer(suffix_dedup.pointers(suffix_dedup.byte_symbols(m), (4,))[0], 4, at, np.full(len(at), size))
+        assert len({(raw[i : i + size], int(x)) for i, x in enumerate(ids)}) == len({raw[i : i + size] for i in at.tolist()}) == len(set(ids.tolist()))
 
 
 # --- near-duplicates ---------------------------------------------------------
