@@ -394,7 +394,7 @@ x AS (SELECT r, run, min(p) AS lo, max(p) + {SPAN} AS hi FROM i GROUP BY r, run)
 y AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS after FROM x),
 c AS (SELECT y.r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substring(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (lo - after) AS BIGINT)), '' ORDER BY lo) AS head
   FROM y JOIN d USING (r) GROUP BY y.r),
-v AS (SELECT r, list_filter(string_split_regex(text, '[\\x09-\\x0D\\x20]+'), x -> x <> '') AS w FROM d),
+v AS (SELECT r, list_filter(string_split_regex(text, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM d),
 q AS (SELECT r, p, md5(array_to_string(w[p + 1 : p + {PASSAGE}], ' ')) AS k FROM (SELECT r, w, unnest(range(0, len(w) - {PASSAGE - 1})) AS p FROM v)),
 b AS (SELECT r, p, count(*) OVER (PARTITION BY k) AS n FROM q),
 e AS (SELECT r, least({PASSAGE}, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, {PASSAGE})) AS covered FROM b WHERE n > 1),
