@@ -5,7 +5,9 @@ DataFrame functions only.  The positions of an expression's matches come from
 which walk the same leftmost, non-overlapping matches; lengths are counted in
 code points.  The expressions are written so that they run in linear time on
 any text: a run of characters is entered at its first character only, and
-possessive quantifiers keep no positions to return to.
+possessive quantifiers keep no positions to return to.  Running sums go
+through blocks of ``BLOCK`` matches, and text is read by blocks of as many
+code points, so that no array or text is copied or walked once per match.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table
+from .native import BLOCK, before, let
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "short_card", "ssn")
@@ -24,7 +27,6 @@ THRESHOLD = 0.5
 #: Code points before and after a span in which context words count.
 CONTEXT = 48
 
-
 @dataclass(frozen=True)
 class Kind:
     """How one kind is proposed, confirmed and scored.
@@ -108,34 +110,50 @@ def _confirmed(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, lo: Column, hi: Column) -> Column:
+    """Code points ``lo`` to ``hi``, end exclusive, of a text in blocks; what lies outside the text is left out."""
+    lo = F.greatest(lo, F.lit(0))
+    first = F.floor(lo / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor((hi - 1) / BLOCK).cast("int") - first + 1, F.lit(0))), "")
+    return F.substr(near, lo - first * BLOCK + 1, hi - lo)
+
+
 def _located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of all matches."""
     between, match = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(match, F.slice(between, 1, F.greatest(F.size(match), F.lit(1))), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + x["gap"]
-        return F.struct((lo + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), (lo + x["size"]).alias("end"), x["match"].alias("match")))).alias("out"))
+    def place(found: Column) -> Column:
+        begins = before(F.transform(found, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        placed = F.zip_with(found, begins, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["match"].alias("match")))
+        return F.filter(placed, lambda x: x["match"].isNotNull())
 
-    return F.aggregate(F.filter(pairs, lambda x: x["match"].isNotNull()), start, add, lambda acc: acc["out"])
+    return let(F.filter(pairs, lambda x: x["match"].isNotNull()), place)
 
 
 def _scored(text: Column, rule: Kind) -> Column:
     """array<struct<start, end, score>> of the confirmed matches that reach the threshold."""
     hits = F.filter(_located(text, rule.pattern), lambda x: _confirmed(rule.name, x["match"]))
 
-    def score(x: Column) -> Column:
-        value = F.lit(rule.score)
-        if rule.boost:
-            lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            near = F.substr(text, lo + 1, x["start"] - lo).rlike(rule.context) | F.substr(text, x["end"] + 1, F.lit(CONTEXT)).rlike(rule.context)
-            value = value + F.when(near, rule.boost).otherwise(0.0)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("score"))
+    def score(blocks: Column | None = None):
+        def of(x: Column) -> Column:
+            value = F.lit(rule.score)
+            if rule.boost:
+                near = _piece(blocks, x["start"] - CONTEXT, x["start"]).rlike(rule.context) | _piece(blocks, x["end"], x["end"] + CONTEXT).rlike(rule.context)
+                value = value + F.when(near, rule.boost).otherwise(0.0)
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("score"))
+
+        return of
 
-    kept = F.filter(F.transform(hits, score), lambda x: x["score"] >= THRESHOLD)
+    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
+    scored = let(hits, lambda found: F.when(F.size(found) == 0, none).otherwise(let(_blocks(text), lambda blocks: F.transform(found, score(blocks))))) if rule.boost else F.transform(hits, score())
+    kept = F.filter(scored, lambda x: x["score"] >= THRESHOLD)
     probed = F.contains(text, F.lit(rule.probe)) if rule.name == "email" else text.rlike(rule.probe)
-    return F.when(probed, kept).otherwise(F.array().cast("array<struct<start:int,end:int,score:double>>"))
+    return F.when(probed, kept).otherwise(none)
 
 
 def find_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
@@ -155,7 +173,7 @@ def _named(kinds: tuple[str, ...], prefix: str) -> Column:
 
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Counts and digests of the personal data in every document.
+    """Counts and digests of the personal data in every document; n_found counts the spans of all kinds.
 
     Null and empty texts have none; repeated rows are returned each; an empty
     table gives an empty result; only the two named columns are read.
@@ -166,6 +184,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         *[F.size(f"pii_{k}").cast("bigint").alias(f"n_{k}") for k in BASE],
         F.sha2(_named(BASE, "pii_"), 256).alias("base_sha256"),
         _named(KINDS, "pii_").alias("spans"),
+        sum((F.size(f"pii_{k}") for k in KINDS[1:]), F.size(f"pii_{KINDS[0]}")).cast("bigint").alias("n_found"),
     )
 
 
@@ -179,14 +198,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(F.col(prefix + kind), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(kind.upper()).alias("kind")))
 
     every = F.array_sort(F.flatten(F.array(*[of(k) for k in KINDS])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substr(source, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), out.alias("out"))
+    def cut(spans: Column, until: Column) -> Column:
+        """until: where the spans before each one end; a span that begins sooner is a part of theirs."""
+        def text_of(blocks: Column) -> Column:
+            parts = F.zip_with(spans, F.slice(until, F.lit(1), F.size(spans)), lambda x, at: F.when(x["start"] >= at, F.concat(_piece(blocks, at, x["start"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), _piece(blocks, F.element_at(until, -1), F.length(source)))
+
+        return let(_blocks(source), text_of)
 
-    clean = F.aggregate(every, start, add, lambda acc: F.concat(acc["out"], F.substr(source, acc["at"] + 1, F.length(source))))
+    clean = let(every, lambda spans: let(before(F.transform(spans, lambda x: -x["back"]), F.greatest), lambda until: cut(spans, until)))
     any_found = sum((F.size(prefix + k) for k in KINDS[1:]), F.size(prefix + KINDS[0])) > 0
     return found.withColumn(text, F.when(any_found, clean).otherwise(source)).drop(*[prefix + k for k in KINDS])
 

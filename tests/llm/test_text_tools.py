@@ -53,6 +53,18 @@ def test_personal_data(spark):
     assert got == sorted(want, key=str)
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a block holds, multi-byte text between them."""
+    text = "é4111 1111 1111 1111, " * 700 + "12," * 5000 + "ssn 123-45-6789 𝒳 " * 1100
+    df = spark.createDataFrame([(1, text)], EMPTY)
+    found = pii.detect(df).first()
+    spans = [x.split(":") for x in found["spans"].split(",")]
+    assert (found["n_card"], found["n_found"], len(spans)) == (700, 1800, 1800)
+    assert [text[int(a) : int(b)] for kind, a, b in spans if kind == "ssn"] == ["123-45-6789"] * 1100
+    assert found["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(text)).encode()).hexdigest()
+    assert pii.redact(df).first()["text"] == "é<CARD>, " * 700 + "12," * 5000 + "ssn <SSN> 𝒳 " * 1100
+
+
 def test_checksums_context_and_redaction(spark):
     text = "IBAN DE89370400440532013000, GB82 WEST 1234 5698 7654 32, DE89370400440532013001. card 378282246310005 but 378282246310005, alone far away from any such word at all: 378282246310005. ssn 123-45-6789, é a@b.co 1.2.3.4"
     df = spark.createDataFrame([(1, text), (2, None), (3, "clean")], EMPTY)
@@ -232,12 +244,42 @@ def test_unigram_paths_are_the_best():
         assert abs(own.score[ids[a:b]].sum() - own.score[library.encode(t)].sum()) < 1e-4
 
 
-def test_streaming_commits_what_bulk_finds():
+def prose(words=4000):
+    rng = random.Random(6)
+    syllables = ["the", "ing", "an", "er", "tion", "o", "st", "qu", "re", "Zu", "é"]
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) + rng.choice(["", "", ",", "."]) for _ in range(words))
+
+
+@pytest.mark.parametrize("text", [prose(), "thequickbrownfoxjumpsoverthelazydog" * 300, "a" * 3000], ids=["prose", "one word", "one letter"])
+def test_one_stream_commits_in_a_bounded_window(text):
+    """The whole text as one lane: the library's ids, from a window that does not grow with the text."""
+    import sentencepiece
+
     own = codec.load()
-    text = "thequickbrownfoxjumpsoverthelazydog" * 40
-    chars = own.char[[ord(c) for c in text]]
-    bulk, _ = own._bulk(chars, np.array([0]), np.array([len(chars)]))
-    assert list(own._stream(chars)) == bulk.tolist()
+    points = np.array([codec.SPACE] + [codec.SPACE if c == " " else ord(c) for c in text])
+    held: list[int] = []
+    ids, count = own._stream(own.char[points], np.array([0]), np.array([len(points)]), held)
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=codec.MODEL).encode(text) and count.tolist() == [len(ids)]
+    assert len(held) == (len(points) - 1) // own.longest
+    if text[0] != "a":
+        assert max(held) <= 4 * own.longest
+
+
+def test_unigram_stream_is_one_path():
+    own = codec.Codec(unigram_model())
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 200))) for _ in range(50)]
+    size = np.array([len(t) for t in texts])
+    chars = own.char[[ord(c) for c in "".join(texts)]]
+    ids, count = own._stream(chars, np.cumsum(size) - size, size)
+    edge = np.concatenate(([0], np.cumsum(count)))
+    for k, t in enumerate(texts):
+        best = [0.0] + [-np.inf] * len(t)
+        for i in range(len(t)):
+            for piece, score in (("ab", -2.0), ("b", -4.0), ("a", -3.5), ("abc", -5.5), ("c", -1.5), ("bc", -2.2)):
+                if t.startswith(piece, i):
+                    best[i + len(piece)] = max(best[i + len(piece)], best[i] + score)
+        assert abs(own.score[ids[edge[k] : edge[k + 1]]].sum() - best[-1]) < 1e-4
 
 
 def test_encode_and_decode_tables(spark):
