@@ -10,13 +10,16 @@ last piece:
   two pieces may stand side by side is decided from the order of merges alone,
   so the survivor is the result of merging without doing any merges.
 
-No back-pointer is longer than the longest piece, so a window of that many
-boundaries is all that must be kept: when the survivors of all boundaries in
-the window have a boundary in common, the ids before it are final and are
-committed.  Where no piece spans the step from a letter to a space mark, every
-such step is a boundary that all paths share; the stretches between them are
-short, repeat often, and are run through the lattice together as numpy arrays.
-Longer stretches stream one by one.
+All paths stream through one lattice, a block of boundaries as long as the
+longest piece at a time.  No back-pointer is longer, so only boundaries in a
+window of that length can still be gone on from.  When the back-pointers from
+all survivors in the window lead to one boundary, the ids before it are final:
+they are committed, and what stands before that boundary is forgotten.
+
+Where no piece spans the step from a letter to a space mark, every such step
+is a boundary on which all paths converge, known without looking.  The
+stretches between these steps repeat often; each different one is a lane, and
+all lanes of a piece of text advance together as numpy arrays.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ from .common import Cache, arrow_map, mix, pieces, table
 #: Path of the model file on the driver; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
-#: Characters of a stretch that is handled in bulk; longer ones stream.
-BULK = 48
 # Piece and model types of the file format.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
@@ -231,117 +232,117 @@ class Codec:
 
     # --- the lattice --------------------------------------------------------
 
-    def _edges(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces (begin, length, id) in ``chars``; ``room``: characters from each begin to the end of its stretch."""
-        begins, sizes, ids = [], [], []
-        live = np.arange(len(chars))
-        state = np.zeros(len(chars), np.int64)
+    def _edges(self, chars: np.ndarray, begin: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces (index into ``begin``, length, id) that start at the places ``begin``; ``room``: characters from there to the end of the stretch."""
+        which, sizes, ids = [], [], []
+        live = np.arange(len(begin))
+        state = np.zeros(len(begin), np.int64)
         for depth in range(1, self.longest + 1):
-            state = self.steps.get(state * self.chars + chars[live + depth - 1])
-            good = (state >= 0) & (chars[live + depth - 1] > 0)
+            char = chars[begin[live] + depth - 1]
+            state = self.steps.get(state * self.chars + char)
+            good = (state >= 0) & (char > 0)
             live, state = live[good], state[good].astype(np.int64)
             piece = self.ends[state]
             hit = piece >= 0
-            begins.append(live[hit])
+            which.append(live[hit])
             sizes.append(np.full(hit.sum(), depth))
             ids.append(piece[hit])
             more = room[live] > depth
             live, state = live[more], state[more]
             if not len(live):
                 break
-        alone = np.flatnonzero(chars == 0)  # characters outside the vocabulary
-        begins.append(alone)
+        alone = np.flatnonzero(chars[begin] == 0)  # characters outside the vocabulary
+        which.append(alone)
         sizes.append(np.ones(len(alone), np.int64))
         ids.append(np.full(len(alone), self.size))
-        return np.concatenate(begins), np.concatenate(sizes), np.concatenate(ids).astype(np.int64)
-
-    def _bulk(self, chars: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many short stretches, one after another, and their numbers."""
-        room = np.repeat(lo + size, size) - np.arange(len(chars))
-        begin, length, piece = self._edges(chars, room)
-        first = np.repeat(lo, size)[begin]
-        end = begin + length
-        order = np.lexsort((-length, end, end - first))
-        begin, length, piece, end, first = begin[order], length[order], piece[order], end[order], first[order]
-        at = np.searchsorted(end - first, np.arange(1, int(size.max()) + 2))
-        last, back = np.full(len(chars) + 1, -1), np.zeros(len(chars) + 1, np.int64)  # by end, counted from its stretch's begin, at begin + end - 1
-        best = np.full(len(chars) + 1, -np.inf)
-        for j in range(int(size.max())):
-            part = slice(at[j], at[j + 1])
-            b, p, e, inner = begin[part], piece[part], end[part], begin[part] > first[part]
-            before = last[b - 1]
-            ok = ~inner | (before >= 0)
-            if self.kind == BPE:
-                ask = np.flatnonzero(ok & inner)
-                ok[ask] = self.apart(before[ask], p[ask])
-                b, p, e = b[ok], p[ok], e[ok]
-                last[e[::-1] - 1], back[e[::-1] - 1] = p[::-1], b[::-1]
-            else:
-                total = np.where(inner, best[b - 1], 0.0) + self.score[p]
-                b, p, e, total = b[ok], p[ok], e[ok], total[ok]
-                pick = np.lexsort((-total, e))
-                pick = pick[np.concatenate(([True], e[pick][1:] != e[pick][:-1]))] if len(pick) else pick
-                last[e[pick] - 1], back[e[pick] - 1], best[e[pick] - 1] = p[pick], b[pick], total[pick]
+        return np.concatenate(which), np.concatenate(sizes), np.concatenate(ids).astype(np.int64)
+
+    def _stream(self, chars: np.ndarray, lo: np.ndarray, size: np.ndarray, held: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many stretches of ``chars``, one after another, and their numbers.
+
+        ``held`` gets the number of boundaries that are kept after each block.
+        """
+        step = self.longest
+        lane = np.arange(len(lo))  # stretches that have not ended
+        base = now = 0  # boundary in the first column, and the next to go on from: the same in all lanes
+        done = np.zeros(len(lo), np.int64)  # boundary up to which ids are committed
+        last = np.full((len(lo), 1), -1, np.int64)
+        back = np.zeros((len(lo), 1), np.int64)
+        best = np.zeros((len(lo), 1))
         owner, places, found = [], [], []
-        which, end = np.arange(len(lo)), lo + size
-        while len(which):
-            owner.append(which)
-            places.append(end)
-            found.append(last[end - 1])
-            end = back[end - 1]
-            more = end > lo[which]
-            which, end = which[more], end[more]
-        owner, places, found = np.concatenate(owner), np.concatenate(places), np.concatenate(found)
+
+        def commit(rows: np.ndarray, end: np.ndarray) -> None:
+            """Ids of the paths that lead to ``end``; the rest of the window is untouched."""
+            begin = done[rows].copy()
+            done[rows] = end
+            more = end > begin
+            while more.any():
+                rows, begin, end = rows[more], begin[more], end[more]
+                owner.append(lane[rows])
+                places.append(end)
+                found.append(last[rows, end - base])
+                end = back[rows, end - base]
+                more = end > begin
+
+        while len(lane):
+            wide = now + 2 * step - base + 1 - last.shape[1]  # boundaries that this block can reach
+            last = np.pad(last, ((0, 0), (0, wide)), constant_values=-1)
+            back = np.pad(back, ((0, 0), (0, wide)))
+            best = np.pad(best, ((0, 0), (0, wide)), constant_values=-np.inf)
+            count = np.minimum(step, size[lane] - now)
+            row = np.repeat(np.arange(len(lane)), count)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + now
+            which, length, piece = self._edges(chars, lo[lane][row] + offset, size[lane][row] - offset)
+            order = np.argsort(offset[which], kind="stable")
+            row, offset, length, piece = row[which][order], offset[which][order], length[order], piece[order]
+            cut = np.searchsorted(offset, np.arange(now, now + step + 1))
+            for k in range(step):  # all pieces from one boundary
+                part = slice(cut[k], cut[k + 1])
+                r, p, b = row[part], piece[part], now + k
+                if not len(r):
+                    continue
+                e = b + length[part] - base
+                before = last[r, b - base]
+                if self.kind == BPE:
+                    ok = last[r, e] < 0
+                    if b:
+                        ok &= before >= 0
+                        ask = np.flatnonzero(ok)
+                        ok[ask] = self.apart(before[ask], p[ask])
+                else:
+                    total = best[r, b - base] + self.score[p]
+                    ok = total > best[r, e]
+                    best[r[ok], e[ok]] = total[ok]
+                r, e = r[ok], e[ok]
+                last[r, e], back[r, e] = p[ok], b
+            now += step
+            ended = size[lane] <= now
+            commit(np.flatnonzero(ended), size[lane][ended])
+            stay = np.flatnonzero(~ended)
+            lane, done, last, back, best = lane[stay], done[stay], last[stay], back[stay], best[stay]
+            if len(lane):
+                commit(np.arange(len(lane)), self._shared(last, back, now - base, base))
+                drop = int(done.min()) - base
+                last, back, best, base = last[:, drop:], back[:, drop:], best[:, drop:], base + drop
+                if held is not None:
+                    held.append(last.shape[1])
+        owner, places, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, places, found))
         order = np.lexsort((places, owner))
         return found[order], np.bincount(owner, minlength=len(lo))
 
-    def _stream(self, chars: np.ndarray, window: int | None = None) -> Iterator[int]:
-        """Ids of one long stretch, committed as soon as all survivors agree."""
-        most = window or self.longest
-        n, block = len(chars), 4096
-        last: dict[int, int] = {0: -1}
-        back: dict[int, int] = {}
-        best: dict[int, float] = {0: 0.0}
-        done = 0
-        for lo in range(0, n, block):
-            hi = min(n, lo + block)
-            view = chars[lo : min(n, hi + most)]
-            begin, length, piece = self._edges(view, len(view) - np.arange(len(view)))
-            mine = begin < hi - lo
-            by_begin: dict[int, list] = {}
-            for b, size, p in zip((begin[mine] + lo).tolist(), length[mine].tolist(), piece[mine].tolist(), strict=True):
-                by_begin.setdefault(b, []).append((size, p))
-            for b in range(lo, hi):
-                if b in last:
-                    mates = by_begin.get(b, ())
-                    if self.kind == BPE and b and mates:
-                        ok = self.apart(np.full(len(mates), last[b]), np.array([p for _, p in mates]))
-                        mates = [m for m, good in zip(mates, ok.tolist(), strict=True) if good]
-                    for size, p in mates:
-                        total = best[b] + float(self.score[p])
-                        if self.kind == BPE or total > best.get(b + size, -np.inf):
-                            last[b + size], back[b + size], best[b + size] = p, b, total
-                if b - done >= 4 * most:  # survivors of the window, back to the boundary that they share
-                    ends = {e for e in range(b + 1, min(n, b + most) + 1) if e in last}
-                    while len(ends) > 1:
-                        far = max(ends)
-                        ends.discard(far)
-                        ends.add(back[far])
-                    shared = ends.pop() if ends else done
-                    if shared > done:
-                        yield from self._path(last, back, done, shared)
-                        for e in range(done, shared):
-                            last.pop(e, None), back.pop(e, None), best.pop(e, None)
-                        done = shared
-        yield from self._path(last, back, done, n)
-
     @staticmethod
-    def _path(last: dict[int, int], back: dict[int, int], lo: int, hi: int) -> list[int]:
-        out = []
-        while hi > lo:
-            out.append(last[hi])
-            hi = back[hi]
-        return out[::-1]
+    def _shared(last: np.ndarray, back: np.ndarray, now: int, base: int) -> np.ndarray:
+        """The last boundary that the paths to all survivors from column ``now`` on have in common."""
+        marked = last >= 0
+        marked[:, :now] = False
+        left = marked.sum(axis=1)
+        for column in range(last.shape[1] - 1, -1, -1):  # the farthest path goes back one piece, until one boundary is left
+            rows = np.flatnonzero(marked[:, column] & (left > 1))
+            marked[rows, column] = False
+            to = back[rows, column] - base
+            left[rows] -= marked[rows, to]
+            marked[rows, to] = True
+        return marked.argmax(axis=1) + base
 
     def _fallback(self, ids: np.ndarray, count: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put bytes (or the unknown id) for characters outside the vocabulary; ``points`` are those characters in order."""
@@ -387,27 +388,11 @@ class Codec:
         np.cumsum(mix(points.astype(np.uint64)) * power[0][: len(points)], out=h[1:])
         key = mix((h[lo + length] - h[lo]) * power[1][lo] + length.astype(np.uint64))
         _, one, number = np.unique(key, return_index=True, return_inverse=True)
-        bulk = length[one] <= BULK
-        ids, count = np.zeros(0, np.int64), np.zeros(len(one), np.int64)
-        short = one[bulk]
-        index = _ranges(lo[short], length[short])
-        own = points[index]
-        if len(short):
-            chars = self.char[np.minimum(own, 0x10FFFF)]
-            ids, count[bulk] = self._bulk(chars, np.cumsum(length[short]) - length[short], length[short])
-            ids, count[bulk] = self._fallback(ids, count[bulk], own[chars == 0])
-        parts, begin = [ids], np.zeros(len(one), np.int64)
-        begin[bulk] = np.cumsum(count[bulk]) - count[bulk]
-        total = len(ids)
-        for k in np.flatnonzero(~bulk):
-            own = points[lo[one[k]] : lo[one[k]] + length[one[k]]]
-            chars = self.char[own]
-            got = np.fromiter(self._stream(chars), np.int64)
-            got, c = self._fallback(got, np.array([len(got)]), own[chars == 0])
-            parts.append(got)
-            begin[k], count[k] = total, c[0]
-            total += len(got)
-        ids = np.concatenate(parts)
+        own = points[_ranges(lo[one], length[one])]
+        chars = self.char[np.minimum(own, 0x10FFFF)]
+        ids, count = self._stream(chars, np.cumsum(length[one]) - length[one], length[one])
+        ids, count = self._fallback(ids, count, own[chars == 0])
+        begin = np.cumsum(count) - count
         out = ids[_ranges(begin[number], count[number])].astype(np.int32)
         doc = np.searchsorted(np.cumsum(size), lo, "right")
         return out, np.bincount(doc, weights=count[number], minlength=n)[:n].astype(np.int64)
