@@ -96,26 +96,48 @@ def test_personal_data_of_no_rows_runs_no_python(spark):
 
 
 def brute_licenses(text):
-    low, high = licenses._bounds(licenses.TEMPLATES, licenses.LEAST)
-    t = text or ""
-    units = t.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", t) if "\n" in p]
-    best, n = [], 0
-    for u in units:
-        b = set(licenses.template_bigrams(u))
-        found = [(-2 * len(b & set(w)) / (len(b) + len(w)), name) for name, template in licenses.TEMPLATES if b and (w := licenses.template_bigrams(template)) and 20 * len(b & set(w)) >= licenses.LEAST * (len(b) + len(w))]
-        n += bool(found)
-        best += found
-    names = ",".join(sorted({x for _, x in best}))
-    return n, names, min(best)[1] if best else None, -min(best)[0] if best else None
+    """Every template at every place of the text that one of its key bigrams puts it."""
+    low = re.sub("[^a-z0-9]+", " ", (text or "").translate({i: i + 32 for i in range(65, 91)})).split()
+    pairs = lambda w: {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+    hits = set()
+    for name, template in licenses.TEMPLATES:
+        words = re.findall("[a-z0-9]+", template.lower())
+        all_pairs = [tuple(words[i : i + 2]) for i in range(len(words) - 1)]
+        keys = {p: k for k, p in enumerate(all_pairs) if all_pairs.count(p) == 1 and any(w.startswith(s) for w in p for s in licenses.STEMS)}
+        for i in range(len(low) - 1):
+            if (k := keys.get(tuple(low[i : i + 2]))) is not None:
+                lo, hi = max(0, i - k), min(len(low), i - k + len(words))
+                a, b = pairs(low[lo:hi]), set(all_pairs)
+                if 20 * len(a & b) >= 8 * (len(a) + len(b)):
+                    hits.add((lo, hi, (len(a & b), 2 * len(a & b) / (len(a) + len(b))), name))
+    notices = []
+    for hit in sorted(hits):
+        if notices and hit[0] < max(h[1] for h in notices[-1]):
+            notices[-1].append(hit)
+        else:
+            notices.append([hit])
+    best = [(-h[2][1], h[3]) for part in notices for h in part if h[2] == max(x[2] for x in part)]
+    return len(notices), ",".join(sorted({x for _, x in best})), min(best)[1] if best else None, -min(best)[0] if best else None
 
 
 def test_licenses(spark):
-    apache = licenses.TEMPLATES[0][1]
-    texts = [None, "", "nothing here", apache, "x\n" + apache.upper() + "\ny", "Released under the   MIT license", "Licensed under the Apache License, Version 9.", licenses.TEMPLATES[4][1].replace(", ", ",\n") + "\n\nmore", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "a " * 5000, apache + " and much more text that follows it on the same line of the file"]
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(3, apache, "z")], EMPTY + ", found string")
+    named = dict(reversed(licenses.TEMPLATES))
+    apache, mit = licenses.TEMPLATES[0][1], licenses.TEMPLATES[6][1]
+    wrapped = "#!/bin/sh\n# " + licenses.TEMPLATES[2][1].replace(", ", ",\n#  ").replace(" of ", "\n#  of ") + "\nset -e"
+    texts = [None, "", "nothing here", apache, "x\n" + apache.upper() + "\ny", "Released under the   MIT license", "Licensed under the Apache License, Version 9.", "a " * 5000, "licensed " * 5000]
+    texts += [apache + " and much more text that follows it on the same line of the file", "See below. Released under the MIT License. See the file LICENSE", "Copyright 2020 Jane Doe. Licensed under the MIT License.", wrapped, "/* Copyright (c) A. Body\n *\n * " + mit.replace(". ", ".\n * ").replace("the Software is", "it is") + " */ int x;"]
+    texts += ["Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "license", "the mit", " ".join(t for _, t in licenses.TEMPLATES), (apache + " x y z ") * 700, "warranty " + named["isc"][:-300]]
+    texts += [t for _, t in licenses.TEMPLATES]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(3, apache, "z")], EMPTY + ", found string").repartition(4)
     got = sorted(((r["doc_id"], r["n_notices"], r["licenses"], r["best_license"], r["best_dice"]) for r in licenses.scan(df).collect()), key=str)
     assert got == sorted([(i, *brute_licenses(t)) for i, t in enumerate(texts)] + [(3, *brute_licenses(apache))], key=str)
+    of = {r[0]: r for r in got}
+    assert [of[i][2] for i in range(9, 14)] == ["apache-2.0", "mit", "mit", "apache-2.0", "mit"] and of[14][1:3] == (2, "cc-by-nc-4.0,mit") and of[18][1] == 700
+    first = len(texts) - len(licenses.TEMPLATES)
+    assert [of[first + i][2] for i, _ in enumerate(licenses.TEMPLATES)] == [name for name, _ in licenses.TEMPLATES]
     assert licenses.scan(spark.createDataFrame([], EMPTY)).count() == 0
+    plan = licenses.scan(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 # --- web pages ---------------------------------------------------------------
