@@ -1,44 +1,57 @@
 """Main text of web pages by union-free regular-expression inference.
 
 Pages of one host come from few templates.  A wrapper is a sequence of nodes:
-a tag, a text constant, a text slot, an optional group ``( ... )?`` or a
-repeated group ``( ... )+``; it has no alternation.  It is inferred by
-iterative alignment: a page's token stream is first folded (neighbouring
-copies of a token group become a repeated group); the folded stream of the
-first page is the wrapper, and each further page is aligned with it.  Texts
-that differ become slots, repeated groups absorb their further copies, and
-tokens that only one side has become optional.
-
-Every node keeps the open elements around it.  They, and whether a text is
-the same on different pages, tell the main text from what surrounds it.
-
-Which blocks of text belong to a host's template is counted over all its
-pages: a block is a constant if it fills the same place (the elements around
-it) on at least a share of the host's different pages that have the place.
-The counts are aggregates with partial results, so a host with a third of all
-pages is no task of its own.  All pages are extracted, each from its whole html.
-
-The wrapper as an expression (``infer_wrappers``) is inferred by alignment of
-at most ``SALTS`` pages of a host; it describes the host and decides no text.
+an element with its own sequence, a text constant, a text slot, an optional
+group ``( ... )?`` or a repeated group ``( ... )+``; it has no alternation.
+It is inferred by iterative alignment.  A page is a sequence of blocks of text
+inside elements; neighbouring copies of a group of elements are folded into a
+repeated group.  Two wrappers are aligned along the elements that both have
+once and in the same order, and so on between those.  Texts that differ become
+slots, repeated groups absorb further copies, elements that only one side has
+become optional, and where many elements differ in their classes alone, the
+class becomes a slot too.
+
+Every page of a host takes part: each task aligns the pages it reads, and the
+wrappers of tasks are aligned in groups of ``GROUP`` until a host has one.  No
+task holds more than a group of wrappers, and a wrapper grows with the
+templates of a host, not with its pages.
+
+The wrapper decides what is main text.  A page is matched with the wrapper of
+its host, and a block counts by the slot that it falls into:
+
+* slots in elements for menus, adverts, forms and the like never count;
+* if articles hold the text of the wrapper, slots inside them count;
+* else the main region is sought: from the root down, as long as one element
+  holds most of the text.  Slots in the region count, and outside of it main
+  headings and elements with a fair share of text that is not links;
+* a text that fills its place on a share of the host's different pages is a
+  constant of the template.  Shares are counted over all pages by an
+  aggregation, as copies of a page must not count.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Set
-from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, stored, table
+from .common import Tables, arrow_map, table
 
-#: Pages of a host that its expression is inferred from, at most.
-SALTS = 8
-#: Tokens of the largest group that folding looks for.
-GROUP = 12
+#: Wrappers that are aligned at once.
+GROUP = 16
+#: Wrappers that a task holds before it hands them on.
+HELD = 500
+#: Elements of one name with different classes in one sequence; more are told apart no longer.
+CLASSES = 32
+#: Elements inside each other that a wrapper tells apart; deeper ones belong to the last of these.
+DEPTH = 60
 #: Pages on which a text outside an article must recur to count as part of the template.
 RECURRING = 2
 #: Share of the host's pages with a place outside an article on which a block must fill it to count as part of the template.
@@ -46,6 +59,9 @@ SHARE = 0.2
 #: The same inside an article, where the tags speak for main text; and pages at least.
 ARTICLE_SHARE = 0.5
 ARTICLE_RECURRING = 3
+#: Share of an element's text that one element in it must hold to be gone into, and that of the region which an element outside it needs to count.
+REGION_SHARE = 0.6
+BESIDE_SHARE = 0.1
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,11 +76,30 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_BEGIN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
-Token = tuple[str, str, tuple]  # kind (open, close, text), value, open elements
+
+_LIKE = {name: (name,) for name in ("li", "tr", "option")} | {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_LISTS = frozenset("ul ol dl table tbody tr select menu".split())
+
+
+class Element:
+    """An open element; dropped, main, link: whether it or one around it is.  block: the nearest element that is not inline."""
+
+    __slots__ = ("block", "depth", "dropped", "link", "main", "name", "parent", "sign", "top")
+
+    def __init__(self, name: str, sign: str, dropped: bool, main: bool, parent: Element | None):
+        self.name, self.sign, self.parent = name, sign, parent
+        self.dropped = dropped or (parent is not None and parent.dropped)
+        self.main = main or (parent is not None and parent.main)
+        self.link = name == "a" or (parent is not None and parent.link)
+        around = parent.block if parent is not None else None
+        self.block = around if name in INLINE and around is not None else self
+        self.depth = (around.depth + 1 if self.block is self else around.depth) if around is not None else 0
+        self.top = self.block if self.depth <= DEPTH else around.top
 
 
 def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
@@ -74,229 +109,442 @@ def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
     main = name in ARTICLE or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     dropped = name in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     dropped = dropped or (not MARKS.isdisjoint(words) and name not in ("html", "body", "main"))
-    return ".".join([name, *found.get("class", "").split()[:3]]), dropped, main and not dropped
-
+    return ".".join([name, *re.sub("[0-9]+", "0", found.get("class", "")).split()]), dropped, main and not dropped
 
-def tokens(page: str) -> list[Token]:
-    """Tags and texts of a page, texts of white space alone included.  Each has the elements around it: (signature, dropped, article, name, number)."""
-    out: list[Token] = []
-    stack: list[tuple] = []
-    around: tuple = ()
-    at = number = 0
 
-    def text(raw: str) -> None:
-        if raw:
-            out.append(("text", html_lib.unescape(raw), around))
+def _tag_end(page: str, at: int, none: set[str]) -> int:
+    """Place of the ``>`` that ends a tag, outside quotes unless one never closes; ``none`` gets quotes that have no further copy."""
+    first = -1
+    look = at
+    while True:
+        m = _STOP.search(page, look)
+        if not m:
+            return first if first >= 0 else page.find(">", at)
+        if m[0] == ">":
+            return m.start()
+        close = -1 if m[0] in none else page.find(m[0], m.end())
+        if close < 0:
+            none.add(m[0])
+            return page.find(">", at)
+        look = close + 1
+
+
+def events(page: str) -> Iterator[tuple[str, str, Element]]:
+    """("text", text, element around it) for texts outside raw elements, ("break", name, element) for tags that are no inline elements; in time linear in the page."""
+    root = Element("", "", False, False, None)
+    stack = [root]
+    open_: Counter[str] = Counter()
+    none: set[str] = set()
+    last = page.rfind(">")
+    at = 0
+
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.name] -= 1
+        del stack[k:]
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+        m = _BEGIN.search(page, at)
+        if not m or (m.start() > last and not (m[1] or m[2])):
+            yield "text", html_lib.unescape(page[at:]), stack[-1]
+            return
+        if m.start() > at:
+            yield "text", html_lib.unescape(page[at : m.start()]), stack[-1]
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else "]]>", m.end())
+            end = len(page) if end < 0 else end
+            if m[2]:
+                yield "text", page[m.end() : end], stack[-1]
+            at = end + 3
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            if any(e[3] == name for e in stack):
-                while stack.pop()[3] != name:
-                    pass
-                around = tuple(stack)
-            out.append(("close", name, around))
+        if m[3]:
+            at = page.find(">", m.end()) + 1
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][3] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][3] not in INLINE:
-                    break
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            like = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][3] in like:
-                    del stack[k:]
-                    break
-                if stack[k][3] in ("ul", "ol", "dl", "table", "tbody", "tr", "select", "menu"):
-                    break
-        signature, dropped, main = _signature(name, attributes)
-        around = tuple(stack)
-        out.append(("open", signature, around))
-        number += 1
+        end = _tag_end(page, m.end(), none)
+        name, attributes, at = m[5].lower(), page[m.end() : end], end + 1
+        if m[4]:
+            if open_[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                cut(k)
+            if name not in INLINE:
+                yield "break", name, stack[-1]
+            continue
+        if name in CLOSES_P and open_["p"]:
+            k = len(stack) - 1
+            while stack[k].name in INLINE:
+                k -= 1
+            if stack[k].name == "p":
+                cut(k)
+        elif name in _LIKE and any(open_[x] for x in _LIKE[name]):
+            k = len(stack) - 1
+            while k > 0 and stack[k].name not in _LIKE[name] and stack[k].name not in _LISTS:
+                k -= 1
+            if stack[k].name in _LIKE[name]:
+                cut(k)
+        if name not in INLINE or name == "br":
+            yield "break", name, stack[-1]
         if name in VOID:
             continue
         if name in RAW:  # nothing inside is markup
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
-            out.append(("close", name, around))
+            m = _RAW_END[name].search(page, at)
+            at = m.end() if m else len(page)
             continue
-        stack.append((signature, dropped, main, name, number))
-        around = tuple(stack)
-    return out
+        stack.append(Element(name, *_signature(name, attributes), stack[-1]))
+        open_[name] += 1
+
+
+class Block:
+    """A block of text: its element, text, characters within links, and all."""
+
+    __slots__ = ("dropped", "element", "linked", "main", "size", "text")
+
+    def __init__(self, element: Element, parts: list[str], linked: int, size: int, first: Element):
+        self.element, self.text, self.linked, self.size = element, " ".join("".join(parts).split()), linked, size
+        self.dropped, self.main = first.dropped, first.main
+
+
+def blocks(page: str) -> list[Block]:
+    """All blocks of a page that hold more than white space, those of dropped elements included."""
+    out: list[Block] = []
+    held: list | None = None  # element, parts, linked, size, element of the first text
+    for kind, value, e in events(page):
+        if kind == "break":
+            if value == "br" and held:
+                held[1].append(" ")
+            elif value != "br":
+                if held:
+                    out.append(Block(*held))
+                held = None
+            continue
+        if value.isspace() or not value:
+            if held:
+                held[1].append(" ")
+            continue
+        if held and (held[0] is not e.block or held[4].dropped != e.dropped or held[4].main != e.main):
+            out.append(Block(*held))
+            held = None
+        if held is None:
+            held = [e.block, [], 0, 0, e]
+        held[1].append(value)
+        held[2] += len(value) if e.link else 0
+        held[3] += len(value)
+    if held:
+        out.append(Block(*held))
+    return [b for b in out if b.text]
+
+
+def _path(e: Element) -> list[Element]:
+    """Blocks around a block, itself last, the outermost ``DEPTH`` of them."""
+    e = e.top
+    out = []
+    while e.parent is not None:
+        out.append(e)
+        e = e.parent.block
+    return out[::-1]
+
+
+def place(b: Block) -> str:
+    return "/".join(e.sign for e in _path(b.element))
 
 
 # --- wrappers ----------------------------------------------------------------
 
-Node = list  # [kind, key, text or None, set of texts' pages, children]
+#: [sign, or # for a text; pages; dropped; article; repeated; nodes inside; constant text or None; characters; characters in links]
+Node = list
+SIGN, PAGES, GONE, MAIN, MANY, INSIDE, TEXT, CHARS, LINKED = range(9)
 
 
-def _key(kind: str, value: str, around: tuple) -> str:
-    path = "/".join(e[0] for e in around)
-    return f"{path}|#" if kind == "text" else f"{path}|{'/' if kind == 'close' else ''}{value}"
+def page_tree(page: list[Block]) -> Node:
+    """The blocks of a page as a wrapper of one page."""
+    root: Node = ["", 1, False, False, False, [], None, 0, 0]
+    way: list[tuple[Element | None, Node]] = [(None, root)]
+    for b in page:
+        path = _path(b.element)
+        k = 0
+        while k < len(path) and k + 1 < len(way) and way[k + 1][0] is path[k]:
+            k += 1
+        for _, node in way[k + 1 :]:
+            node[INSIDE] = fold(node[INSIDE])
+        del way[k + 1 :]
+        for e in path[k:]:
+            node = [e.sign, 1, e.dropped, e.main, False, [], None, 0, 0]
+            way[-1][1][INSIDE].append(node)
+            way.append((e, node))
+        way[-1][1][INSIDE].append(["#", 1, b.dropped, b.main, False, [], b.text, b.size, b.linked])
+    for _, node in way[::-1]:
+        node[INSIDE] = fold(node[INSIDE])
+    return root
 
 
 def fold(nodes: list[Node]) -> list[Node]:
     """Neighbouring copies of a group of nodes become one repeated group."""
-    out = nodes
-    for size in range(1, GROUP + 1):
-        kept: list[Node] = []
-        k = 0
-        while k < len(out):
-            keys = [n[1] for n in out[k : k + size]]
-            times = 1
-            while len(keys) == size and [n[1] for n in out[k + times * size : k + (times + 1) * size]] == keys:
-                times += 1
-            if times > 1:
-                group = out[k : k + size]
-                for j in range(1, times):
-                    group = [_merged(a, b) for a, b in zip(group, out[k + j * size : k + (j + 1) * size], strict=True)]
-                kept.append(["+", "(" + " ".join(keys) + ")+", None, 0, group])
-                k += times * size
-            else:
-                kept.append(out[k])
-                k += 1
-        out = kept
+    out: list[Node] = []
+    places: dict[str, list[int]] = {}
+    for node in nodes:
+        out.append(node)
+        before = places.setdefault(node[SIGN], [])
+        size = len(out) - 1 - before[-1] if before else 0
+        if size and len(out) >= 2 * size and all(out[-1 - i][SIGN] == out[-1 - size - i][SIGN] for i in range(size)):
+            for i in range(size):
+                one, other = out[-2 * size + i], out[-size + i]
+                merged = merge(one, other, False)
+                merged[MANY] = True
+                out[-2 * size + i] = merged
+            for gone in out[-size:-1]:
+                places[gone[SIGN]].pop()
+            del out[-size:]
+        else:
+            before.append(len(out) - 1)
     return out
 
 
-def _merged(a: Node, b: Node) -> Node:
-    """One node for two that stand at the same place."""
-    same = a[2] if a[2] is not None and a[2] == b[2] else None
-    children = align(a[4], b[4]) if a[4] or b[4] else []
-    return [a[0], a[1], same, a[3] + b[3] if same is not None else 0, children]
-
-
-def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The wrapper generalised so that it also matches the page."""
-    plain = lambda n: n[1].strip("()+?") if n[0] in "+?" else n[1]
-    out: list[Node] = []
-    for kind, a, b, c, d in SequenceMatcher(None, [plain(n) for n in wrapper], [plain(n) for n in page], autojunk=False).get_opcodes():
-        if kind == "equal":
-            for x, y in zip(wrapper[a:b], page[c:d], strict=True):
-                if x[0] == "+" or y[0] == "+":
-                    one, other = (x, y) if x[0] == "+" else (y, x)
-                    out.append(_merged(one, other if other[0] == "+" else ["+", one[1], None, 0, [other]]))
-                else:
-                    out.append(_merged(x, y) if x[0] != "?" else x)
+def merge(a: Node, b: Node, pages: bool = True) -> Node:
+    """One node for two at the same place; pages: of different pages."""
+    inside = align(a[INSIDE], b[INSIDE], pages) if a[INSIDE] or b[INSIDE] else []
+    return [a[SIGN], a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), a[GONE] and b[GONE], a[MAIN] or b[MAIN], a[MANY] or b[MANY], inside, a[TEXT] if a[TEXT] == b[TEXT] else None, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED]]
+
+
+def _common(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of nodes with equal signs that both sequences have once, in the longest order that both keep."""
+    one, two = Counter(x[SIGN] for x in xs), Counter(y[SIGN] for y in ys)
+    where = {y[SIGN]: j for j, y in enumerate(ys) if two[y[SIGN]] == 1}
+    pairs = [(i, where[x[SIGN]]) for i, x in enumerate(xs) if one[x[SIGN]] == 1 and x[SIGN] in where]
+    tails: list[int] = []  # patience: the pile on which each pair lies, and the pair below it
+    below = [-1] * len(pairs)
+    ends: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        lo, hi = 0, len(ends)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if ends[mid] < j else (lo, mid)
+        below[k] = tails[lo - 1] if lo else -1
+        if lo == len(ends):
+            ends.append(j)
+            tails.append(k)
         else:
-            for part in (wrapper[a:b], page[c:d]):
-                if part:
-                    out += part if len(part) == 1 and part[0][0] == "?" else [["?", "(" + " ".join(n[1] for n in part) + ")?", None, 0, part]]
+            ends[lo], tails[lo] = j, k
+    out = []
+    k = tails[-1] if tails else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = below[k]
+    return out[::-1]
+
+
+def align(xs: list[Node], ys: list[Node], pages: bool = True) -> list[Node]:
+    """The sequence that matches both: what only one has is optional (it has fewer pages than what it is in)."""
+    if [x[SIGN] for x in xs] == [y[SIGN] for y in ys]:
+        return [merge(x, y, pages) for x, y in zip(xs, ys, strict=True)]
+    if not xs or not ys:
+        return xs or ys
+    pairs = _common(xs, ys)
+    if not pairs:  # nothing occurs once: go along the begins and ends that agree
+        k = 0
+        while k < min(len(xs), len(ys)) and xs[k][SIGN] == ys[k][SIGN]:
+            k += 1
+        e = 0
+        while e < min(len(xs), len(ys)) - k and xs[-1 - e][SIGN] == ys[-1 - e][SIGN]:
+            e += 1
+        pairs = [(i, i) for i in range(k)] + [(len(xs) - i, len(ys) - i) for i in range(e, 0, -1)]
+        if not pairs:
+            return _told_apart(fold(xs + ys))
+    out: list[Node] = []
+    i = j = 0
+    for a, b in [*pairs, (len(xs), len(ys))]:
+        out += align(xs[i:a], ys[j:b], pages)
+        if a < len(xs):
+            out.append(merge(xs[a], ys[b], pages))
+        i, j = a + 1, b + 1
+    return _told_apart(fold(out))
+
+
+def _told_apart(nodes: list[Node]) -> list[Node]:
+    """Elements of one name with very many different classes lose them, as do those that come later."""
+    if len(nodes) <= CLASSES and not any(n[SIGN].endswith(".*") for n in nodes):
+        return nodes
+    of: dict[str, set[str]] = {}
+    for n in nodes:
+        of.setdefault(n[SIGN].partition(".")[0], set()).add(n[SIGN])
+    wide = {name for name, signs in of.items() if len(signs) > CLASSES or name + ".*" in signs}
+    if not wide:
+        return nodes
+    out: list[Node] = []
+    where: dict[tuple[str, bool], int] = {}
+    for n in nodes:
+        name = n[SIGN].partition(".")[0]
+        if name in wide:
+            key = name, n[GONE]
+            if key in where:
+                out[where[key]] = merge(out[where[key]], [name + ".*", *n[1:]])
+                out[where[key]][MANY] = True
+                continue
+            where[key] = len(out)
+            n = [name + ".*", *n[1:]]
+        out.append(n)
     return out
 
 
-def infer(pages: list[str]) -> list[Node]:
-    """Wrapper of the pages of one host; empty for no pages."""
-    wrapper: list[Node] | None = None
-    for page in pages:
-        nodes = fold([[kind, _key(kind, value, around), " ".join(value.split()) if kind == "text" else None, int(kind == "text"), []] for kind, value, around in tokens(page) if kind != "text" or not value.isspace()])
-        wrapper = nodes if wrapper is None else align(wrapper, nodes)
-    return wrapper or []
+def infer(pages: list[str]) -> Node:
+    """Wrapper of the pages of one host; that of an empty page for none."""
+    trees = [page_tree(blocks(page)) for page in pages] or [page_tree([])]
+    wrapper = trees[0]
+    for tree in trees[1:]:
+        wrapper = merge(wrapper, tree)
+    return wrapper
 
 
-def expression(wrapper: list[Node]) -> str:
+def expression(wrapper: Node) -> str:
     """The wrapper as a regular expression over tags: ``#`` is a slot, quoted text a constant."""
-    out = []
-    for kind, key, text, _, children in wrapper:
-        last = key.rpartition("|")[2]
-        if kind in "+?":
-            out.append(f"( {expression(children)} ){kind}")
-        elif kind == "text":
-            out.append(repr(text) if text is not None else "#")
-        else:
-            out.append(f"<{last}>")
-    return " ".join(out)
 
+    def inside(nodes: list[Node], pages: int) -> str:
+        out = []
+        for n in nodes:
+            own = (repr(n[TEXT]) if n[TEXT] is not None else "#") if n[SIGN] == "#" else " ".join(x for x in (f"<{n[SIGN]}>", inside(n[INSIDE], n[PAGES]), f"</{n[SIGN].partition('.')[0]}>") if x)
+            own = f"( {own} )+" if n[MANY] else own
+            out.append(f"( {own} )?" if n[PAGES] < pages else own)
+        return " ".join(out)
 
-def constants(wrapper: list[Node], least: int = RECURRING) -> set[tuple[str, str]]:
-    """(path, text) of texts that the wrapper's pages share at the same place."""
-    out: set[tuple[str, str]] = set()
-    for kind, key, text, times, children in wrapper:
-        if kind == "text" and text is not None and times >= least:
-            out.add((key, text))
-        out |= constants(children, least)
-    return out
+    return inside(wrapper[INSIDE], wrapper[PAGES])
 
 
-def has_article(wrapper: list[Node]) -> bool:
-    return any(("article" in n[1] or "main" in n[1]) and n[0] == "open" or has_article(n[4]) for n in wrapper)
+def _sizes(node: Node) -> tuple[int, int, int]:
+    """Characters outside links, within links, and characters in articles, of what is not dropped."""
+    if node[SIGN] == "#":
+        return (0, 0, 0) if node[GONE] else (node[CHARS] - node[LINKED], node[LINKED], node[CHARS] if node[MAIN] else 0)
+    found = [_sizes(n) for n in node[INSIDE]]
+    return tuple(sum(x) for x in zip(*found, strict=True)) if found else (0, 0, 0)
 
 
-def _blocks(page: str) -> tuple[list[tuple[str, str, int, int]], bool]:
-    """Blocks of a page outside dropped elements, and whether it has an article, outside of which it is not read.
+class Verdict:
+    """Which slots of a wrapper hold main text.
 
-    A block is (its place, text, characters within links, characters).
+    The wrapper of one page alone says nothing about a template: all its slots count.
     """
-    found = tokens(page)
-    articles = any(e[2] for _, _, around in found for e in around)
-    places: list[str] = []
-    blocks: list[list[str]] = []
-    links: list[tuple[int, int]] = []  # characters within links, and all
-    current: tuple | None = None
-    fresh = True
-    for kind, value, around in found:
-        if kind != "text":
-            name = value.partition(".")[0]
-            if name == "br":
-                if blocks and not fresh:
-                    blocks[-1].append(" ")
-            elif name not in INLINE:
-                fresh = True
-            continue
-        if any(e[1] for e in around):
-            continue
-        if articles and not any(e[2] for e in around):
-            continue
-        if value.isspace():
-            if blocks and not fresh:
-                blocks[-1].append(" ")
-            continue
-        outer = tuple(e for e in around if e[3] not in INLINE)
-        holder = tuple(e[4] for e in outer)
-        if fresh or holder != current:
-            places.append(_key(kind, value, outer))
-            blocks.append([])
-            links.append((0, 0))
-            current, fresh = holder, False
-        blocks[-1].append(value)
-        inside = len(value) if any(e[3] == "a" for e in around) else 0
-        links[-1] = (links[-1][0] + inside, links[-1][1] + len(value))
-    return [(p, t, a, n) for p, b, (a, n) in zip(places, blocks, links, strict=True) if (t := " ".join("".join(b).split()))], articles
-
-
-def main_text(page: str, shared: Set[tuple[str, str]]) -> str:
-    """Blocks of the main text.
-
-    A page with an article is read inside its articles, any other page whole;
-    blocks in dropped elements, blocks of the template (``shared``: place and
-    text) and, without an article, lists that are links alone do not count.
-    An article of which the template would leave less than half is a copy of
-    others, not a template, and stays whole.
+
+    def __init__(self, wrapper: Node):
+        self.root, self.region = wrapper, wrapper
+        self.beside: set[int] = set()  # nodes outside the region whose slots count, by identity
+        self.articles = _sizes(wrapper)[2] > 0
+        if self.articles or wrapper[PAGES] < 2:
+            return
+        way = [wrapper]
+        while True:
+            best = max((n for n in way[-1][INSIDE] if n[SIGN] != "#" and not n[GONE]), key=lambda n: _sizes(n)[0], default=None)
+            if best is None or best[SIGN].partition(".")[0] not in _BOXES:
+                break
+            most = _sizes(best)[0] / best[PAGES]
+            # Text of the others on a page that has the best.
+            rest = sum(_sizes(n)[0] / max(n[PAGES], best[PAGES]) for n in way[-1][INSIDE] if n is not best)
+            if most < REGION_SHARE * max(most + rest, 1):
+                break
+            way.append(best)
+        self.region = way[-1]
+        for outer, inner in zip(way, way[1:], strict=False):
+            for n in outer[INSIDE]:
+                own, linked, _ = _sizes(n)
+                if n is not inner and (n[SIGN].partition(".")[0] in ("h1", "h2") or (own > linked and own / n[PAGES] >= BESIDE_SHARE * _sizes(self.region)[0] / self.region[PAGES])):
+                    self.beside.add(id(n))
+
+    def main(self, page: list[Block]) -> list[Block]:
+        """The blocks of a page whose slots count; of a page without the main region, all that are not dropped."""
+        if self.articles:
+            return [b for b in page if b.main and not b.dropped]
+        at: dict[Element | None, tuple[Node | None, int]] = {None: (self.root, int(self.region is self.root))}  # 1: in the region, 2: beside it
+        found = []
+        for b in page:
+            now: Element | None = None
+            for e in _path(b.element):
+                if e not in at:
+                    node, kept = at[now]
+                    inside = node[INSIDE] if node else ()
+                    loose = e.sign.partition(".")[0] + ".*"
+                    slot = next((n for n in inside if n[SIGN] == e.sign), None) or next((n for n in inside if n[SIGN] == loose), None)
+                    at[e] = slot, kept or (slot is not None and (int(slot is self.region) or 2 * (id(slot) in self.beside)))
+                now = e
+            node, kept = at[now]
+            kept = kept or 2 * any(n[SIGN] == "#" and id(n) in self.beside for n in (node[INSIDE] if node else ()))
+            found.append(kept)
+        if 1 not in found:
+            return [b for b in page if not b.dropped]
+        return [b for b, kept in zip(page, found, strict=True) if kept and not b.dropped]
+
+
+#: Elements that the search for the main region goes into.
+_BOXES = frozenset("html body div section main article center table tbody tr td form fieldset dl".split())
+
+
+def main_text(page: str, verdict: Verdict | None = None, shared: Set[tuple[str, str]] = frozenset()) -> str:
+    """Blocks of the main text of a page, by its host's wrapper (without one, by its own).
+
+    ``shared``: (place, text) of blocks that recur on the host's different
+    pages and so are the template's.  A page without an article on a host with
+    articles is judged by its own wrapper.  An article of which the template
+    would leave less than half is a copy of others, not a template, and stays
+    whole.  A page of links alone has no main text.
     """
-    blocks, articles = _blocks(page)
-    kept = [b for b in blocks if (b[0], b[1]) not in shared]
+    found = blocks(page)
+    articles = any(b.main and not b.dropped for b in found)
+    if verdict is None or verdict.articles != articles:
+        verdict = Verdict(page_tree(found))
+    counted = verdict.main(found)
+    kept = [b for b in counted if (place(b), b.text) not in shared]
     if not articles:
-        blocks = [b for b in kept if b[2] < b[3]]
-    elif 2 * sum(len(b[1]) for b in kept) >= sum(len(b[1]) for b in blocks):
-        blocks = kept
-    return "\n".join(t for _, t, _, _ in blocks)
+        own = [b for b in kept if b.linked < b.size]
+    else:
+        own = kept if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in counted) else counted
+    return "\n".join(b.text for b in own)
+
+
+# --- wrappers of all hosts ---------------------------------------------------
+
+_PARTS = "host string, part bigint, wrapper string"
+
+
+def _host(url):
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-# --- what recurs on the pages of a host --------------------------------------
+def _part_rows(found: dict[str, Node], part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int64()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "part", "wrapper"])
+
+
+def _page_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers of the hosts of one task's pages (host, html)."""
+    task = TaskContext.get()
+    part = task.partitionId() if task else 0
+    held: dict[str, Node] = {}
+    for batch in batches:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tree = page_tree(blocks(page))
+            held[host] = merge(held[host], tree) if host in held else tree
+        if len(held) > HELD:
+            yield _part_rows(held, part)
+            held = {}
+    yield _part_rows(held, part)
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    """One wrapper for the rows of a host's group."""
+    trees = [json.loads(w) for w in group.sort_by([("part", "ascending"), ("wrapper", "ascending")]).column("wrapper").to_pylist()]
+    wrapper = trees[0]
+    for tree in trees[1:]:
+        wrapper = merge(wrapper, tree)
+    return pa.table({"host": group.column("host")[:1].cast(pa.string()), "part": pa.array([group.column("part")[0].as_py() // GROUP], pa.int64()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
+
+
+def _wrappers(page: DataFrame, tables: Tables) -> DataFrame:
+    """(host, part, wrapper): the wrapper of each host of ``page`` (host, html), aligned group by group."""
+    now = tables.stored(arrow_map(page, _page_wrappers, _PARTS), "parts0")
+    highest, level = now.agg(F.max("part")).first()[0] or 0, 0
+    while True:
+        level += 1
+        now = tables.stored(now.groupBy("host", F.floor(F.col("part") / GROUP)).applyInArrow(_merged, _PARTS), f"parts{level}")
+        tables.drop(f"parts{level - 1}")
+        highest //= GROUP
+        if highest == 0:
+            return now
 
 
 def _digest(*parts: str) -> int:
@@ -311,13 +559,14 @@ class Digests(frozenset):
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every page's places, and of its blocks with their places; whether they are read from an article."""
+    """Digests of every page's places, and of its blocks with their places; whether they are inside an article."""
     for b in batches:
         hosts, pages, places, texts, insides = [], [], [], [], []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            blocks, articles = _blocks(html)
+            found = [x for x in blocks(html) if not x.dropped]
+            articles = any(x.main for x in found)
             page = _digest(html)
-            pairs = {(_digest(p), _digest(p, t)) for p, t, _, _ in blocks}
+            pairs = {(_digest(at := place(x)), _digest(at, x.text)) for x in found if x.main or not articles}
             rows = [*pairs, *((p, None) for p in {p for p, _ in pairs})]
             hosts += [host] * len(rows)
             pages += [page] * len(rows)
@@ -327,46 +576,35 @@ def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64()), pa.array(insides, pa.bool_())], names=["host", "place", "block", "page", "article"])
 
 
-def template_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, blocks): digests of the blocks that belong to each host's template, from all its pages.
+def template_blocks(page: DataFrame, tables: Tables) -> DataFrame:
+    """(of, blocks): digests of the blocks that recur on each host's pages (host, html).
 
     Copies of a page (the same html) count once.
     """
-    page = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = arrow_map(page, _place_rows, "host string, place bigint, block bigint, page bigint, article boolean").distinct()
-    counts = stored(rows.groupBy("host", "place", "block", "article").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING), "places")
+    counts = tables.stored(rows.groupBy("host", "place", "block", "article").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING), "places")
     whole = counts.where("block IS NULL").select("host", "place", "article", F.col("n").alias("of"))
     often = F.when(F.col("article"), (F.col("n") >= ARTICLE_RECURRING) & (F.col("n") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("n") >= SHARE * F.col("of"))
     kept = counts.where("block IS NOT NULL").join(whole, ["host", "place", "article"]).where(often)
-    return kept.groupBy("host").agg(F.collect_list("block").alias("blocks"))
+    return kept.groupBy(F.col("host").alias("of")).agg(F.collect_list("block").alias("blocks"))
 
 
-def _wrapper_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        regex, paths, texts = [], [], []
-        for pages in b.column("pages").to_pylist():
-            wrapper = infer([p or "" for p in pages])
-            regex.append(expression(wrapper))
-            both = sorted(constants(wrapper))
-            paths.append([p for p, _ in both])
-            texts.append([t for _, t in both])
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([len(p) for p in b.column("pages").to_pylist()], pa.int32()), pa.array(regex, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))], names=["host", "n_pages", "wrapper", "paths", "texts"])
+def _page(pages: DataFrame, url: str, html: str) -> DataFrame:
+    return pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
 
-def _host(url):
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-
-
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = SALTS) -> DataFrame:
-    """(host, n_pages, wrapper, paths, texts): each host's wrapper as an expression, and its shared texts with their paths.
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, n_pages, wrapper): each host's wrapper over all its pages, as an expression.
 
     Null html counts as an empty page; pages without a host share the empty host.
     """
-    page = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    order = F.xxhash64("html")
-    few = page.groupBy("host", F.pmod(order, F.lit(salts)).alias("salt")).agg(F.min_by("html", order).alias("html"))
-    gathered = few.groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("pages"))
-    return arrow_map(gathered, _wrapper_rows, "host string, n_pages int, wrapper string, paths array<string>, texts array<string>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [json.loads(w) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w[PAGES] for w in found], pa.int64()), pa.array([expression(w) for w in found], pa.string())], names=["host", "n_pages", "wrapper"])
+
+    return arrow_map(_wrappers(_page(pages, url, html), Tables(pages.sparkSession)).select("host", "wrapper"), run, "host string, n_pages bigint, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -376,18 +614,23 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are extracted each; an empty table gives an empty result;
     other columns are not read.
     """
-    templates = stored(template_blocks(pages).withColumnRenamed("host", "of"), "templates")
+    tables = Tables(pages.sparkSession)
+    page = _page(pages, "url", "html")
+    wrappers = _wrappers(page, tables).select(F.col("host").alias("of"), "wrapper")
+    known = tables.stored(wrappers.join(template_blocks(page, tables), "of", "left"), "known")
     each = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
-    joined = each.join(templates, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "blocks")
+    joined = each.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "wrapper", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, tuple] = {}
         for b in batches:
-            own: dict[str, Digests] = {}
-            hosts, blocks = b.column("host").to_pylist(), b.column("blocks")
+            hosts, wrapper, recurring = b.column("host").to_pylist(), b.column("wrapper"), b.column("blocks")
             for k, host in enumerate(hosts):
                 if host not in own:
-                    own[host] = Digests(blocks[k].as_py() or ())
-            found = [main_text(page, own[host]) for page, host in zip(b.column("html").to_pylist(), hosts, strict=True)]
+                    if len(own) >= HELD:
+                        own.clear()
+                    own[host] = Verdict(json.loads(wrapper[k].as_py())), Digests(recurring[k].as_py() or ())
+            found = [main_text(html, *(own.get(host) or (None, Digests()))) for html, host in zip(b.column("html").to_pylist(), hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

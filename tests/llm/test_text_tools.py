@@ -1,9 +1,11 @@
 """Personal data, licences, web pages, pieces and the pipeline."""
 
+import collections
 import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -150,28 +152,128 @@ PAGE = (
 
 def test_main_text():
     article = "<article><h1>Tom &amp; Jerry</h1><p>One<b>two</b>  three\n<p>Four<br>five &lt;six&gt;<aside>side</aside><ul><li>x<li>y</ul><table><tr><td>c<td>d</table><section class='comments'><article><p>nice!</p></article></section><form>Name <input></form><!-- no --></article>"
-    assert wrappers.main_text(PAGE.format(article), set()) == "Tom & Jerry\nOnetwo three\nFour five <six>\nx\ny\nc\nd"
-    assert wrappers.main_text(PAGE.format("<div><p>Plain page</p><p><a href=/>only link</a></p></div>"), set()) == "Plain page"
-    for page in ("", "   ", "<", "<p", "<!-- never closed", "<script>never closed", "</p></b>", "<div class=ad>x", "a < b & c"):
-        assert isinstance(wrappers.main_text(page, set()), str)
-    assert wrappers.main_text("a < b & c", set()) == "a < b & c"
-    assert len(wrappers.main_text("<p>" + "word " * 100_000, set())) == 499_999
+    assert wrappers.main_text(PAGE.format(article)) == "Tom & Jerry\nOnetwo three\nFour five <six>\nx\ny\nc\nd"
+    assert wrappers.main_text(PAGE.format("<div><p>Plain page</p><p><a href=/>only link</a></p></div>")) == "Plain page"
+    for page in ("", "   ", "<", "<p", "<!-- never closed", "<script>never closed", "</p></b>", "<div class=ad>x", "a < b & c", "<a b='c>d</a>", "<![CDATA[x", "<!x", "<p title='>'>q</p>"):
+        assert isinstance(wrappers.main_text(page), str)
+    assert wrappers.main_text("a < b & c") == "a < b & c" and wrappers.main_text("<p title='>'>q</p>") == "q" and wrappers.main_text("<p title='>q</p>") == "q"
+    assert len(wrappers.main_text("<p>" + "word " * 100_000)) == 499_999
+
+
+def test_hard_pages_take_linear_time():
+    def seconds(page):
+        begin = time.process_time()
+        wrappers.infer([page, page])
+        wrappers.main_text(page)
+        return time.process_time() - begin
+
+    for page in ("<div class=\"x>", "<p a='", "<div>", "<b>", "</b>", "<p>", "<li>", "<td>x", "<!--", "<", "<!", "<i class=x>a</i><u>b</u>", "<div><p>a</p>"):
+        small, large = seconds(page * 4000), seconds(page * 16_000)
+        assert large < 8 * small + 1, page
+    assert wrappers.main_text("<div>" * 3000 + "x" + "</div><p>y</p>" * 3000).count("y") == 3000
 
 
 def test_white_space_between_inline_elements():
-    assert wrappers.main_text("<article><p>see <b>one</b> <i>two</i>\n<a href=/>three</a>&#32;<b>four</b></p> <p> five</p> </article>", set()) == "see one two three four\nfive"
-    assert wrappers.main_text("<div> <p><b>a</b>\n\t<b>b</b><b>c</b></p> </div>", set()) == "a bc"
-    assert wrappers.expression(wrappers.infer(["<p> <b>x</b> </p>"])) == "<p> <b> 'x' </b> </p>"
+    assert wrappers.main_text("<article><p>see <b>one</b> <i>two</i>\n<a href=/>three</a>&#32;<b>four</b></p> <p> five</p> </article>") == "see one two three four\nfive"
+    assert wrappers.main_text("<div> <p><b>a</b>\n\t<b>b</b><b>c</b></p> </div>") == "a bc"
+    assert wrappers.expression(wrappers.infer(["<p> <b>x</b> </p>"])) == "<p> 'x' </p>"
 
 
 def test_wrapper_inference():
     pages = [PAGE.format(f"<article><h1>T{i}</h1>" + "<p>text %d</p>" * (i + 1) % tuple(range(i + 1)) + ("<blockquote>q</blockquote>" if i == 1 else "") + "</article>") for i in range(3)]
-    regex = wrappers.expression(wrappers.infer(pages))
-    assert "( <p> # </p> )+" in regex and ")?" in regex and "|" not in regex.replace("'|'", "")
-    assert "( <li> <a> # </a> </li> )+" in regex and "<h1> # </h1>" in regex
-    assert wrappers.infer([]) == [] and wrappers.infer([""]) == []
-    shared = wrappers.constants(wrappers.infer(["<div><p>Same line</p><p>own %d</p></div>" % i for i in range(3)]))
-    assert wrappers.main_text("<div><p>Same line</p><p>own 9</p></div>", shared) in ("own 9", "Same line\nown 9")
+    wrapper = wrappers.infer(pages)
+    regex = wrappers.expression(wrapper)
+    assert regex == (
+        "<html> <body> <nav> <ul> ( <li> # </li> )+ </ul> </nav> <div> 'We use cookies' </div> <article> <h1> # </h1> ( <p> # </p> )+ ( <blockquote> 'q' </blockquote> )? </article> "
+        "<div.sidebar> 'Side' </div> <footer> '© me' </footer> </body> </html>"
+    )
+    assert wrappers.expression(wrappers.infer([])) == wrappers.expression(wrappers.infer([""])) == ""
+    assert wrappers.expression(wrappers.infer(["<dl>" + "<dt>a%d<dd>b<dd>c" % i + "<dt>d<dd>e</dl>" for i in range(3)])) == "<dl> ( <dt> # </dt> )+ ( <dd> # </dd> )+ </dl>"
+    # In whatever order and groups wrappers are aligned, they match all pages.
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        trees = [wrappers.page_tree(wrappers.blocks(pages[i])) for i in order]
+        merged = wrappers.merge(trees[0], wrappers.merge(trees[1], trees[2]))
+        assert wrappers.expression(merged) == regex and merged[wrappers.PAGES] == 3
+
+
+def test_wrapper_finds_the_region_without_articles(spark):
+    """Texts that differ on every page: only the wrapper of the host tells the main region from what stands beside it."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n))
+    body = [(words(4), "\n".join(words(40) for _ in range(rng.randint(1, 5))), words(3)) for _ in range(40)]
+    pages = ["<body><h1>%s</h1><div class=q%d><span>%s</span></div><div class='k'>%s</div><div class=z>%s</div></body>" % (h, i, words(2), "".join(f"<p>{x}</p>" for x in t.split("\n")), s) for i, (h, t, s) in enumerate(body)]
+    pages += ["<body><table><tr><td>other page %d</table></body>" % i for i in range(3)]
+    want = [h + "\n" + t for h, t, _ in body] + ["other page %d" % i for i in range(3)]
+    assert extracted(spark, pages) == want
+    assert [wrappers.main_text(p) for p in pages[:40]] != want[:40]
+    wrapper = {r["host"]: (r["n_pages"], r["wrapper"]) for r in wrappers.infer_wrappers(spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(40)).collect()}
+    n, regex = wrapper["a.example"]
+    other = "( <table> <tr> <td> # </td> </tr> </table> )?"  # shares nothing with the rest: before or after it
+    assert n == 43 and other in regex
+    assert " ".join(regex.replace(other, "").split()) == "<body> ( <h1> # </h1> )? ( <div.q0> # </div> )? ( <div.k> ( <p> # </p> )+ </div> )? ( <div.z> # </div> )? </body>"
+
+
+def test_very_many_classes_become_a_slot():
+    wrapper = wrappers.infer(["<div><section class='%s'><p>text %d</p></section></div>" % ("abcdefghijklmnopqrstuvwxyz"[i % 26] * (i // 26 + 1), i) for i in range(200)])
+    assert wrappers.expression(wrapper) == "<div> ( <section.*> <p> # </p> </section> )+ </div>"
+
+
+def brute_main(htmls):
+    """Main text by the contract, for simple pages of one host: what is in articles, or all, without lists of marked elements and recurring texts."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out, self.fresh = [], [], True
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class", "")))
+            self.fresh |= tag not in wrappers.INLINE
+
+        def handle_endtag(self, tag):
+            while self.open.pop()[0] != tag:
+                pass
+            self.fresh |= tag not in wrappers.INLINE
+
+        def handle_data(self, data):
+            gone = any(t in wrappers.DROPPED or set(c.split()) & wrappers.MARKS for t, c in self.open)
+            path = tuple(x for x in self.open if x[0] not in wrappers.INLINE)
+            if self.fresh:
+                self.out.append([path, "", gone, any(t in wrappers.ARTICLE for t, _ in self.open)])
+                self.fresh = False
+            self.out[-1][1] += data
+
+    pages = []
+    for h in htmls:
+        reader = Reader()
+        reader.feed(h)
+        found = [(p, " ".join(t.split()), a) for p, t, gone, a in reader.out if t.split() and not gone]
+        pages.append([x for x in found if x[2]] or found)
+    different = {h: p for h, p in zip(htmls, pages, strict=True)}.values()
+    of, n = collections.Counter(), collections.Counter()
+    for page in different:
+        of.update({(p, a) for p, _, a in page})
+        n.update(set(page))
+    often = {x for x in n if (n[x] >= 3 and 2 * n[x] >= of[x[0], x[2]] if x[2] else n[x] >= 2 and 5 * n[x] >= of[x[0], x[2]])}
+    out = []
+    for page in pages:
+        kept = [t for p, t, a in page if (p, t, a) not in often]
+        whole = page and page[0][2] and 2 * sum(map(len, kept)) < sum(len(t) for _, t, _ in page)
+        out.append("\n".join(t for _, t, _ in page) if whole else "\n".join(kept))
+    return out
+
+
+def test_extraction_against_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "&amp;", "<b>bold</b>", "x <i>y</i>", "é"]) for _ in range(rng.randint(5, 30)))
+    pages = []
+    for i in range(60):
+        inside = "".join(rng.choice(["<p>%s</p>", "<ul><li>%s</li></ul>", "<h2>%s</h2>", "<blockquote><p>%s</p></blockquote>"]) % text() for _ in range(rng.randint(1, 6)))
+        inside += "<p>Read more of our stories</p>" * (i % 4 > 0) + "<div class='share'>Share %d</div>" % i
+        pages.append("<html><body><nav>%s</nav><div class='ad'>%s</div><article><h1>%s</h1>%s</article><aside>%s</aside><footer>f</footer></body></html>" % (text(), text(), text(), inside, text()))
+    pages += pages[:3] + ["", "<html><body></body></html>"]
+    assert extracted(spark, pages) == brute_main(pages)
 
 
 def extracted(spark, htmls):
@@ -203,7 +305,8 @@ def test_extract(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in wrappers.extract(df).collect())
     assert len(got) == len(rows) and got[:2] == [(0, "body 0", 6), (1, "body 1", 6)] and (100, "", 0) in got and (101, "", 0) in got
-    assert {r["host"]: r["n_pages"] for r in wrappers.infer_wrappers(df).collect()}["a.example"] <= wrappers.SALTS
+    assert {r["host"]: r["n_pages"] for r in wrappers.infer_wrappers(df).collect()} == {"a.example": 30, "": 2, "b.example": 2}
+    assert wrappers.infer_wrappers(df.limit(0)).count() == 0
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
