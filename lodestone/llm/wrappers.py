@@ -77,6 +77,7 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 _BEGIN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_NUMBER = re.compile("[0-9]+")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -87,12 +88,12 @@ _LISTS = frozenset("ul ol dl table tbody tr select menu".split())
 
 
 class Element:
-    """An open element; dropped, main, link: whether it or one around it is.  block: the nearest element that is not inline."""
+    """An open element; dropped, main, link: whether it or one around it is.  own: its name and classes, which ``sign`` has without numbers.  block: the nearest element that is not inline."""
 
-    __slots__ = ("block", "depth", "dropped", "link", "main", "name", "parent", "sign", "top")
+    __slots__ = ("block", "depth", "dropped", "link", "main", "name", "own", "parent", "sign", "top")
 
-    def __init__(self, name: str, sign: str, dropped: bool, main: bool, parent: Element | None):
-        self.name, self.sign, self.parent = name, sign, parent
+    def __init__(self, name: str, own: str, dropped: bool, main: bool, parent: Element | None):
+        self.name, self.own, self.sign, self.parent = name, own, name + _NUMBER.sub("0", own[len(name) :]), parent
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.main = main or (parent is not None and parent.main)
         self.link = name == "a" or (parent is not None and parent.link)
@@ -109,7 +110,7 @@ def _signature(name: str, attributes: str) -> tuple[str, bool, bool]:
     main = name in ARTICLE or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     dropped = name in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     dropped = dropped or (not MARKS.isdisjoint(words) and name not in ("html", "body", "main"))
-    return ".".join([name, *re.sub("[0-9]+", "0", found.get("class", "")).split()]), dropped, main and not dropped
+    return ".".join([name, *found.get("class", "").split()]), dropped, main and not dropped
 
 
 def _tag_end(page: str, at: int, none: set[str]) -> int:
@@ -246,7 +247,8 @@ def _path(e: Element) -> list[Element]:
 
 
 def place(b: Block) -> str:
-    return "/".join(e.sign for e in _path(b.element))
+    """Where a block stands: the elements around it with their classes, numbers included."""
+    return "/".join(e.own for e in _path(b.element))
 
 
 # --- wrappers ----------------------------------------------------------------
