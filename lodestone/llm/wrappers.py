@@ -502,29 +502,46 @@ def main_text(page: str, verdict: Verdict | None = None, shared: Set[tuple[str,
 # --- wrappers of all hosts ---------------------------------------------------
 
 _PARTS = "host string, part bigint, wrapper string"
+_READ = "host string, place bigint, block bigint, page bigint, article boolean, part bigint, wrapper string"
 
 
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _part_rows(found: dict[str, Node], part: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int64()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "part", "wrapper"])
-
-
-def _page_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of the hosts of one task's pages (host, html)."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (host, html) as digests of their places (block null) and of their blocks with places, and whether they stand in an article; after these, the wrappers of one task's hosts."""
     task = TaskContext.get()
     part = task.partitionId() if task else 0
+    names = [x.split()[0] for x in _READ.split(", ")]
     held: dict[str, Node] = {}
+
+    def wrappers() -> pa.RecordBatch:
+        none = [pa.nulls(len(held), pa.int64())] * 3
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *none, pa.nulls(len(held), pa.bool_()), pa.array([part] * len(held), pa.int64()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=names)
+
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree = page_tree(blocks(page))
+        hosts, pages, places, texts, insides = [], [], [], [], []
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            every = blocks(html)
+            tree = page_tree(every)
             held[host] = merge(held[host], tree) if host in held else tree
+            found = [x for x in every if not x.dropped]
+            articles = any(x.main for x in found)
+            page = _digest(html)
+            pairs = {(_digest(at := place(x)), _digest(at, x.text)) for x in found if x.main or not articles}
+            rows = [*pairs, *((p, None) for p in {p for p, _ in pairs})]
+            hosts += [host] * len(rows)
+            pages += [page] * len(rows)
+            insides += [articles] * len(rows)
+            places += [p for p, _ in rows]
+            texts += [t for _, t in rows]
+        n = len(hosts)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64()), pa.array(insides, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
         if len(held) > HELD:
-            yield _part_rows(held, part)
+            yield wrappers()
             held = {}
-    yield _part_rows(held, part)
+    yield wrappers()
 
 
 def _merged(group: pa.Table) -> pa.Table:
@@ -536,9 +553,9 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.table({"host": group.column("host")[:1].cast(pa.string()), "part": pa.array([group.column("part")[0].as_py() // GROUP], pa.int64()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
 
-def _wrappers(page: DataFrame, tables: Tables) -> DataFrame:
-    """(host, part, wrapper): the wrapper of each host of ``page`` (host, html), aligned group by group."""
-    now = tables.stored(arrow_map(page, _page_wrappers, _PARTS), "parts0")
+def _wrappers(read: DataFrame, tables: Tables) -> DataFrame:
+    """(host, part, wrapper): the wrapper of each host, from those of tasks, aligned group by group."""
+    now = read.where("wrapper IS NOT NULL").select("host", "part", "wrapper")
     highest, level = now.agg(F.max("part")).first()[0] or 0, 0
     while True:
         level += 1
@@ -560,30 +577,12 @@ class Digests(frozenset):
         return bool(self) and super().__contains__(_digest(*pair))
 
 
-def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every page's places, and of its blocks with their places; whether they are inside an article."""
-    for b in batches:
-        hosts, pages, places, texts, insides = [], [], [], [], []
-        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            found = [x for x in blocks(html) if not x.dropped]
-            articles = any(x.main for x in found)
-            page = _digest(html)
-            pairs = {(_digest(at := place(x)), _digest(at, x.text)) for x in found if x.main or not articles}
-            rows = [*pairs, *((p, None) for p in {p for p, _ in pairs})]
-            hosts += [host] * len(rows)
-            pages += [page] * len(rows)
-            insides += [articles] * len(rows)
-            places += [p for p, _ in rows]
-            texts += [t for _, t in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64()), pa.array(insides, pa.bool_())], names=["host", "place", "block", "page", "article"])
-
-
-def template_blocks(page: DataFrame, tables: Tables) -> DataFrame:
-    """(of, blocks): digests of the blocks that recur on each host's pages (host, html).
+def _template_blocks(read: DataFrame, tables: Tables) -> DataFrame:
+    """(of, blocks): digests of the blocks that recur on each host's pages.
 
     Copies of a page (the same html) count once.
     """
-    rows = arrow_map(page, _place_rows, "host string, place bigint, block bigint, page bigint, article boolean").distinct()
+    rows = read.where("wrapper IS NULL").select("host", "place", "block", "page", "article").distinct()
     counts = tables.stored(rows.groupBy("host", "place", "block", "article").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING), "places")
     whole = counts.where("block IS NULL").select("host", "place", "article", F.col("n").alias("of"))
     often = F.when(F.col("article"), (F.col("n") >= ARTICLE_RECURRING) & (F.col("n") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("n") >= SHARE * F.col("of"))
@@ -591,8 +590,8 @@ def template_blocks(page: DataFrame, tables: Tables) -> DataFrame:
     return kept.groupBy(F.col("host").alias("of")).agg(F.collect_list("block").alias("blocks"))
 
 
-def _page(pages: DataFrame, url: str, html: str) -> DataFrame:
-    return pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+def _pages_read(pages: DataFrame, url: str, html: str, tables: Tables) -> DataFrame:
+    return tables.stored(arrow_map(pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")), _read, _READ), "read")
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -606,7 +605,10 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             found = [json.loads(w) for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w[PAGES] for w in found], pa.int64()), pa.array([expression(w) for w in found], pa.string())], names=["host", "n_pages", "wrapper"])
 
-    return arrow_map(_wrappers(_page(pages, url, html), Tables(pages.sparkSession)).select("host", "wrapper"), run, "host string, n_pages bigint, wrapper string")
+    tables = Tables(pages.sparkSession)
+    found = _wrappers(_pages_read(pages, url, html, tables), tables)
+    tables.drop("read")
+    return arrow_map(found.select("host", "wrapper"), run, "host string, n_pages bigint, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -617,9 +619,10 @@ def extract(pages: DataFrame) -> DataFrame:
     other columns are not read.
     """
     tables = Tables(pages.sparkSession)
-    page = _page(pages, "url", "html")
-    wrappers = _wrappers(page, tables).select(F.col("host").alias("of"), "wrapper")
-    known = tables.stored(wrappers.join(template_blocks(page, tables), "of", "left"), "known")
+    read = _pages_read(pages, "url", "html", tables)
+    wrappers = _wrappers(read, tables).select(F.col("host").alias("of"), "wrapper")
+    known = tables.stored(wrappers.join(_template_blocks(read, tables), "of", "left"), "known")
+    tables.drop("read", "places")
     each = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
     joined = each.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "wrapper", "blocks")
 
