@@ -22,8 +22,7 @@ def extract(spec: dict) -> tuple[str | None, dict]:
     return search["$search"], {k: v for k, v in spec.items() if k != "$text"}
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[ \\t\\n\\r]+"), lambda t: t != "")
+_WHITE = " \\t\\n\\r"
 
 
 def _leaves(value: Typed) -> list[Column]:
@@ -58,21 +57,15 @@ def score(schema: T.StructType, fields: list[str] | None, search: str) -> Column
     if not terms:
         return total
     if WILDCARD in fields:
-        texts = [leaf for f in schema.fields if not f.name.startswith("__") for leaf in _leaves(Typed(quoted(f.name), f.dataType))]
-        counted = [(F.array_join(t, " "), F.flatten(F.transform(F.filter(t, lambda s: s.isNotNull()), tokens))) for t in texts]
+        # Blanks between the strings of an array keep their tokens apart.
+        counted = [F.array_join(leaf, " ") for f in schema.fields if not f.name.startswith("__") for leaf in _leaves(Typed(quoted(f.name), f.dataType))]
     else:
-        own = [root(schema, f) for f in fields]
-        counted = [(x.column, tokens(x.column)) for x in own if kind_of(x.type) == "string"]
-    for whole, words in counted:
-        def weight(w: Column) -> Column:
-            out = F.lit(0)
-            for term, times in terms.items():
-                out = F.when(w == term, times).otherwise(out)
-            return out
-
-        some = F.lower(whole).contains(next(iter(terms)))
-        for term in list(terms)[1:]:
-            some = some | F.lower(whole).contains(term)
-        # Tokens are made only where a term occurs at all.
-        total = total + F.when(some, F.aggregate(words, F.lit(0), lambda a, w: a + weight(w))).otherwise(0)
+        counted = [x.column for x in (root(schema, f) for f in fields) if kind_of(x.type) == "string"]
+    for whole in counted:
+        low = F.lower(whole)
+        for term, times in terms.items():
+            quoted_term = term.replace("\\E", "\\E\\\\E\\Q")
+            # A term is counted where it stands between white space; texts without it are not searched by pattern.
+            alone = F.regexp_count(low, F.lit(f"(?<![^{_WHITE}])\\Q{quoted_term}\\E(?![^{_WHITE}])"))
+            total = total + F.when(F.contains(low, F.lit(term)), times * alone).otherwise(0)
     return total

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from typing import Any
@@ -259,6 +263,12 @@ pipe("skip_limit", "orders", [{"$sort": {"o_totalprice": 1}}, {"$skip": 20}, {"$
 pipe("limit_natural", "orders", [{"$limit": 25}, {"$project": {"o_orderkey": 1}}], "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
 pipe("unwind", "embeddings", [{"$unwind": "$embedding"}, {"$group": {"_id": "$vec_id", "n": {"$sum": 1}, "low": {"$min": "$embedding"}}}], "SELECT vec_id AS _id, count(*) AS n, min(e) AS low FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings) GROUP BY 1")
 
+@query("filter_elemmatch_document", "SELECT DISTINCT l_orderkey AS _id FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
+def _(db: Database) -> DataFrame:
+    grouped = db["lineitem"].aggregate([{"$group": {"_id": "$l_orderkey", "items": {"$push": "$$ROOT"}}}])
+    return db.register("grouped", grouped).find({"items": {"$elemMatch": {"l_quantity": {"$gt": 45}, "l_returnflag": "R"}}}, projection={"_id": 1})
+
+
 # --- joins -------------------------------------------------------------------
 
 TO_ORDERS = {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}
@@ -270,24 +280,16 @@ pipe(
 )
 
 
-@query("lookup_nest", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+@query("unwind_preserve_array", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def _(db: Database) -> DataFrame:
-    got = db["customer"].aggregate([{"$lookup": TO_ORDERS}])
-    return got.select("c_custkey", F.size("o").cast("bigint").alias("n"), F.array_join(F.transform("o", lambda x: x["o_orderkey"].cast("string")), ",").alias("keys"))
+    nested = db.register("nested", db["customer"].aggregate([{"$lookup": TO_ORDERS}]))
+    return nested.aggregate([{"$unwind": {"path": "$o", "preserveNullAndEmptyArrays": True}}, {"$project": {"c_custkey": 1, "o_orderkey": "$o.o_orderkey"}}])
 
 
-@query(
-    "lookup_array_local",
-    "SELECT k AS _id, count(DISTINCT p_partkey) AS n, sum(p_size) AS size FROM (SELECT DISTINCT l_orderkey AS k, l_partkey FROM lineitem WHERE l_orderkey <= 2000) JOIN part ON l_partkey = p_partkey GROUP BY 1",
-)
+@query("lookup_nest", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def _(db: Database) -> DataFrame:
-    stages = [
-        {"$match": {"l_orderkey": {"$lte": 2000}}},
-        {"$group": {"_id": "$l_orderkey", "parts": {"$push": "$l_partkey"}}},
-        {"$lookup": {"from": "part", "localField": "parts", "foreignField": "p_partkey", "as": "p"}},
-    ]
-    got = db["lineitem"].aggregate(stages)
-    return got.select("_id", F.size("p").cast("bigint").alias("n"), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["p_size"]).alias("size"))
+    got = db["customer"].aggregate([{"$lookup": TO_ORDERS}])
+    return got.select("c_custkey", F.size("o").cast("bigint").alias("n"), F.array_join(F.transform("o", lambda x: x["o_orderkey"].cast("string")), ",").alias("keys"))
 
 
 @query(
@@ -379,7 +381,7 @@ SORT = {"o_orderdate": 1}
 window("win_docnum", {"$documentNumber": {}}, f"CAST(row_number() OVER ({BY_DATE}) AS INTEGER)", SORT)
 window("win_rank", {"$rank": {}}, "CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER)", {"o_orderpriority": 1})
 window("win_rank_unsorted", {"$rank": {}}, "1")
-window("win_sum_partition", {"$sum": "$o_shippriority"}, "CAST(0 AS BIGINT)")
+window("win_sum_partition", {"$sum": "$o_orderkey"}, "CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey) AS BIGINT)")
 window("win_count_partition", {"$sum": 1}, "count(*) OVER (PARTITION BY o_custkey)")
 window("win_running", {"$sum": 1}, f"count(*) OVER ({ROWS} UNBOUNDED PRECEDING AND CURRENT ROW)", SORT)
 window("win_avg", {"$avg": "$o_custkey", "window": {"documents": [-1, 1]}}, f"avg(o_custkey) OVER ({ROWS} 1 PRECEDING AND 1 FOLLOWING)", SORT)
@@ -513,7 +515,67 @@ def _(db: Database) -> DataFrame:
     return db["orders"].violations(Index("one", {"o_custkey": 1}, unique=True))
 
 
-query("stats", "SELECT count(*) AS count FROM lineitem")(lambda db: db["lineitem"].stats().select("count"))
+query(
+    "stats",
+    "SELECT count(*) AS count, CAST(sum(n) AS BIGINT) AS size, avg(n) AS avg_size FROM (SELECT strlen(CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR)) AS n FROM nation)",
+)(lambda db: db["nation"].stats())
+
+
+@query("upd_current_date", "SELECT c_custkey, coalesce(c_acctbal > 5000, false) AS seen FROM customer")
+def _(db: Database) -> DataFrame:
+    c = db["customer"]
+    c.update(_RICH, {"$currentDate": {"seen": True}}, many=True)
+    return c.df.select("c_custkey", (F.col("seen").isNotNull() & (F.current_timestamp() >= F.col("seen"))).alias("seen"))
+
+
+@query("upsert_set_on_insert", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'OLD' ELSE r_name END AS r_name FROM region UNION ALL SELECT 78, 'NEW'")
+def _(db: Database) -> DataFrame:
+    c = db["region"]
+    c.update({"r_regionkey": 1}, {"$set": {"r_name": "OLD"}, "$setOnInsert": {"r_regionkey": 79}}, upsert=True)
+    c.update({"r_regionkey": 99}, {"$set": {"r_regionkey": 78}, "$setOnInsert": {"r_name": "NEW"}}, upsert=True)
+    return c.find({}, projection={"_id": 0, "r_regionkey": 1, "r_name": 1})
+
+
+def _with_id(db: Database, name: str, key: str) -> Collection:
+    return db.register(name + "_id", db[name].df.withColumnRenamed(key, "_id"), ["_id"])
+
+
+@query("insert_duplicate_id", "SELECT r_regionkey AS _id, r_name FROM region UNION ALL SELECT 60, 'B'")
+def _(db: Database) -> DataFrame:
+    c = _with_id(db, "region", "r_regionkey")
+    c.insert([{"_id": 1, "r_name": "A"}, {"_id": 60, "r_name": "B"}, {"_id": 60, "r_name": "C"}], ordered=False)
+    return c.find({}, projection={"_id": 1, "r_name": 1})
+
+
+@query("replace_many_orders", "SELECT o_orderkey AS _id, CASE WHEN o_orderkey = 7 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey = 7 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(db: Database) -> DataFrame:
+    c = _with_id(db, "orders", "o_orderkey")
+    c.update({"_id": 7}, {"o_orderstatus": "Z"})
+    return c.find({}, projection={"_id": 1, "o_custkey": 1, "o_orderstatus": 1})
+
+
+@query("delete_one", "SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F') OR NOT (o_orderstatus = 'F')")
+def _(db: Database) -> DataFrame:
+    c = db["orders"]
+    c.delete({"o_orderstatus": "F"})
+    return c.find({}, projection=ORDER_KEY)
+
+
+@query("index_catalogue", "SELECT * FROM (VALUES ('_id_', true, false), ('o_custkey_1', false, true), ('one', true, false)) AS v(name, \"unique\", sparse)")
+def _(db: Database) -> DataFrame:
+    c = db["orders"]
+    c.create_index({"o_custkey": 1}, sparse=True)
+    c.create_index({"o_orderkey": 1}, name="one", unique=True)
+    return c.index_table().select("name", "unique", "sparse")
+
+
+@query("changed_collections", "SELECT 'region' AS name")
+def _(db: Database) -> DataFrame:
+    db["nation"].count().collect()
+    db["region"].delete({"r_regionkey": 0})
+    db["customer"].delete({"c_custkey": 1})
+    db["customer"].restore()
+    return db.spark.createDataFrame([(n,) for n in db.changed()], "name string")
 
 # --- sources and change streams ----------------------------------------------
 
@@ -557,11 +619,51 @@ def _(db: Database) -> DataFrame:
     return per_event(rows, [{"$match": {"operationType": "insert", "fullDocument.value": {"$gt": 10}}}, {"$project": {"key": "$documentKey._id"}}]).select(F.col("key").cast("bigint").alias("key"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share; on a local master without a checkpoint folder, one of this process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not where:
+        where = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"{where}/log-{uuid.uuid4().hex}"
+
+
+def _log(db: Database):
+    """A change log that the database's writes publish to."""
+    from ..streaming.changes import ChangeLog
+
+    db.log = ChangeLog(db.spark, _folder(db.spark), retention=1 << 40)
+    return db.log
+
+
 @query("change_resume", "SELECT lpad(lower(to_hex(event_id)), 16, '0') AS token FROM events WHERE event_id > 5000")
 def _(db: Database) -> DataFrame:
-    from ..streaming.changes import shaped
+    log = _log(db)
+    log.append(_events_as_log(db))
+    return log.watch(after="0000000000001388", streaming=False).select(F.col("_id").alias("token"))
+
 
-    return shaped(_events_as_log(db).where(F.col("seq") > int("0000000000001388", 16))).select(F.col("_id").alias("token"))
+@query("change_publish", "SELECT r_regionkey AS key, 'update' AS kind, '\"X\"' AS name FROM region WHERE r_regionkey > 1 UNION ALL SELECT r_regionkey, 'delete', NULL FROM region WHERE r_regionkey = 0 UNION ALL SELECT 70, 'insert', NULL")
+def _(db: Database) -> DataFrame:
+    _log(db)
+    c = db["region"]
+    c.update({"r_regionkey": {"$gt": 1}}, {"$set": {"r_name": "X"}}, many=True)
+    c.delete({"r_regionkey": 0})
+    c.insert([{"r_regionkey": 70, "r_name": "NEW"}])
+    rows = db.watch({"resumeAfter": {"_data": "0" * 16}, "fullDocumentBeforeChange": "whenAvailable", "fullDocument": "updateLookup"}, "region", streaming=False)
+    key = F.coalesce(F.try_variant_get("documentKey", "$.r_regionkey", "int"), F.try_variant_get("fullDocument", "$.r_regionkey", "int"), F.try_variant_get("fullDocumentBeforeChange", "$.r_regionkey", "int"))
+    return rows.select(key.alias("key"), F.col("operationType").alias("kind"), F.try_element_at(F.col("updateDescription.updatedFields"), F.lit("r_name")).alias("name"))
+
+
+@query("change_invalidate", "SELECT * FROM (VALUES ('update', 1), ('drop', 2), ('invalidate', 2)) AS v(kind, token)")
+def _(db: Database) -> DataFrame:
+    _log(db)
+    db["region"].update({"r_regionkey": 3}, {"$set": {"r_name": "X"}})
+    db.drop("region")
+    db.create("region")
+    return db.watch({"startAfter": "0" * 16}, "region", streaming=False).select(F.col("operationType").alias("kind"), F.conv("_id", 16, 10).cast("int").alias("token"))
 
 
 # --- flagship ----------------------------------------------------------------
@@ -580,9 +682,9 @@ pipe(
         {"$group": {"_id": "$key", "revenue": {"$sum": "$revenue"}, "date": {"$first": "$date"}}},
         {"$sort": {"revenue": -1}},
         {"$limit": 10},
-        {"$project": {"_id": 1, "date": 1}},
+        {"$project": {"_id": 1, "date": 1, "revenue": 1}},
     ],
-    "SELECT o_orderkey AS _id, o_orderdate AS date FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey "
+    "SELECT o_orderkey AS _id, o_orderdate AS date, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey "
     "WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2 ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC LIMIT 10",
 )
 

@@ -7,8 +7,11 @@ DataFrame behind, the old one stays as it was.
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -56,21 +59,61 @@ class WriteResult:
     errors: list[dict] = field(default_factory=list)
 
 
+@contextmanager
+def deadline(spark: SparkSession, max_time_ms: int | None):
+    """Jobs started inside are cancelled after ``max_time_ms``; 0 or None: never."""
+    if max_time_ms is None:
+        max_time_ms = 0
+    if isinstance(max_time_ms, bool) or not isinstance(max_time_ms, (int, float)):
+        raise bad_value("maxTimeMS must be a number")
+    if not 0 <= max_time_ms <= (1 << 31) - 1:
+        raise bad_value("maxTimeMS is out of range")
+    if not max_time_ms:
+        yield
+        return
+    sc, tag, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(max_time_ms / 1000, cancel)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as error:
+        if late.is_set() and not isinstance(error, EngineError):
+            raise EngineError("MaxTimeMSExpired", "operation exceeded time limit") from error
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    if late.is_set():
+        raise EngineError("MaxTimeMSExpired", "operation exceeded time limit")
+
+
 class Cursor:
     """Documents in batches; rows come to the driver one partition at a time."""
 
-    def __init__(self, df: DataFrame, batch_size: int = FIRST_BATCH):
-        self.id, self.batch_size = uuid.uuid4().hex, batch_size
+    def __init__(self, df: DataFrame, batch_size: int = FIRST_BATCH, max_time_ms: int | None = None):
+        self.id, self.batch_size, self._spark = uuid.uuid4().hex, batch_size, df.sparkSession
+        self._left = max_time_ms
+        with deadline(self._spark, max_time_ms):
+            pass
         self._rows: Iterator | None = df.toLocalIterator(prefetchPartitions=False)
 
     def next_batch(self, size: int | None = None) -> list[dict]:
         if self._rows is None:
             raise EngineError("CursorNotFound", f"cursor {self.id} is closed")
-        out = []
-        for row in self._rows:
-            out.append(row.asDict(recursive=True))
-            if len(out) >= (size or self.batch_size):
-                break
+        out, begin = [], time.monotonic()
+        with deadline(self._spark, self._left):
+            for row in self._rows:
+                out.append(row.asDict(recursive=True))
+                if len(out) >= (size or self.batch_size):
+                    break
+        if self._left:  # the time that batches take counts together
+            self._left = max(1, self._left - int(1000 * (time.monotonic() - begin)))
         return out
 
     def kill(self) -> None:
@@ -81,7 +124,7 @@ class Collection:
     """``order``: columns whose values are unique and give the natural order; without them ``_id``."""
 
     def __init__(self, database: Database, name: str, df: DataFrame, order: list[str] | None = None):
-        self.database, self.name, self._df = database, name, df
+        self.database, self.name, self._df, self._first = database, name, df, df
         self.order = order or (["_id"] if "_id" in df.columns else [])
         self.indexes: dict[str, Index] = {}
         self.version = 0
@@ -128,10 +171,13 @@ class Collection:
         row = self.find(filter, limit=1, **options).first()
         return row.asDict(recursive=True) if row else None
 
-    def cursor(self, filter: dict | None = None, batch_size: int = FIRST_BATCH, **options) -> Cursor:
-        return Cursor(self.find(filter, **options), batch_size)
+    def cursor(self, filter: dict | None = None, batch_size: int = FIRST_BATCH, max_time_ms: int | None = None, **options) -> Cursor:
+        return Cursor(self.find(filter, **options), batch_size, max_time_ms)
 
     def aggregate(self, stages: list[dict]) -> DataFrame:
+        """The documents that a pipeline makes; of one that begins with $changeStream, the stream of this collection's events."""
+        if stages and isinstance(stages[0], dict) and "$changeStream" in stages[0]:
+            return self.database.watch(stages[0]["$changeStream"], self.name, stages[1:])
         return pipeline.output(self.frame(stages))
 
     def frame(self, stages: list[dict]) -> Frame:
@@ -175,6 +221,48 @@ class Collection:
     def _replace(self, df: DataFrame) -> None:
         self._df, self.version = df, self.version + 1
 
+    def _written(self, df: DataFrame) -> DataFrame:
+        """A new version; stored, if the database has a folder for versions, so that plans do not grow with the writes."""
+        if not self.database.versions:
+            return df
+        path = f"{self.database.versions}/{self.database.name}/{self.name}/{self.version + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.database.spark.read.schema(df.schema).parquet(path)
+
+    def restore(self) -> None:
+        """Back to the version that was registered."""
+        self._df, self.version = self._first, 0
+
+    def _json(self, names: list[str]) -> Column:
+        return F.to_json(F.struct(*[quoted(n) for n in names]))
+
+    def _document_key(self, names: list[str]) -> Column:
+        return self._json(["_id"] if "_id" in names else [n for n in self.order if n in names] or names)
+
+    def _publish(self, kind: str, rows: DataFrame, before: bool = False) -> None:
+        """Events for the rows of an insert or a delete."""
+        if self.database.log is not None:
+            from ..streaming.changes import change_rows
+
+            names = [n for n in rows.columns if not n.startswith("__")]
+            document = self._json(names)
+            self.database.log.append(change_rows(kind, self.database.name, self.name, rows, self._document_key(names), None if before else document, document if before else None))
+
+    def _publish_update(self, kind: str, new: DataFrame) -> None:
+        """Events for the changed rows of an update (``updated``), whose JSON before it is in __before."""
+        if self.database.log is not None:
+            from ..streaming.changes import change_rows
+
+            names = [n for n in new.columns if not n.startswith("__")]
+            after = self._json(names)
+            fields = lambda text: F.transform_values(F.from_json(text, "map<string,variant>"), lambda k, v: F.to_json(v))
+            rows = new.where("__changed").withColumns({"__after": after, "__old": fields(F.col("__before")), "__new": fields(after)})
+            differs = lambda k, v: ~v.eqNullSafe(F.try_element_at(F.col("__old"), k))
+            changed = F.map_filter("__new", differs)
+            gone = F.array_except(F.map_keys("__old"), F.map_keys("__new"))
+            description = F.struct(changed.alias("updatedFields"), gone.alias("removedFields")) if kind == "update" else None
+            self.database.log.append(change_rows(kind, self.database.name, self.name, rows, self._document_key(names), F.col("__after"), F.col("__before"), description))
+
     def insert(self, documents: list[dict] | DataFrame, ordered: bool = True) -> WriteResult:
         """Documents that break a unique key are reported and left out; an ordered insert stops at the first."""
         spark = self.database.spark
@@ -200,7 +288,8 @@ class Collection:
             if result.errors and any("index" not in e for e in result.errors):
                 good = []
         if good:
-            self._replace(_appended(self._df, new, self.order))
+            self._publish("insert", new)
+            self._replace(self._written(_appended(self._df, new, self.order)))
         result.inserted = len(good)
         return result
 
@@ -212,7 +301,8 @@ class Collection:
         for index in [Index("_id_", {"_id": 1}, unique=True), *self.indexes.values()]:
             if index.unique and other.violations(index).limit(1).count():
                 raise EngineError("DuplicateKey", f"duplicate key in {index.name}", keyPattern=index.keys)
-        self._replace(joined)
+        self._publish("insert", new)
+        self._replace(self._written(joined))
         return WriteResult(inserted=new.count())
 
     def _taken(self, ids: list) -> set:
@@ -255,7 +345,7 @@ class Collection:
         return F.lit(False) if not one else quoted(ORDER) == _literal_struct(one[0][0], df.schema[ORDER].dataType)
 
     def updated(self, filter: dict | None, update: dict, many: bool = False, sort: dict | None = None) -> DataFrame:
-        """The collection after an update, with the hidden flags __hit and __changed."""
+        """The collection after an update, with the hidden flags __hit and __changed, and the JSON before it as __before if a log wants it."""
         df = self.ordered.withColumn("__hit", self._hit(filter, many, sort))
         before = {f.name: Typed(quoted(f.name), f.dataType) for f in self.df.schema.fields}
         if is_replacement(update):
@@ -275,16 +365,19 @@ class Collection:
             columns.append(F.when(quoted("__hit"), b).otherwise(a).alias(name))
             if not isinstance(to, (T.VariantType, T.MapType)):
                 changed = changed | ~a.eqNullSafe(b)
-        return df.select(*columns, quoted(ORDER), quoted("__hit"), (quoted("__hit") & changed).alias("__changed"))
+        was = [self._json(list(before)).alias("__before")] if self.database.log is not None else []
+        return df.select(*columns, quoted(ORDER), quoted("__hit"), (quoted("__hit") & changed).alias("__changed"), *was)
 
     def update(self, filter: dict | None, update: dict, many: bool = False, upsert: bool = False, sort: dict | None = None) -> WriteResult:
-        new = self.updated(filter, update, many, sort)
+        new = self._written(self.updated(filter, update, many, sort))
         n, changed = new.agg(F.count_if("__hit"), F.count_if("__changed")).first()
         if not n and upsert:
             row = self.upsert_document(filter or {}, update)
             result = self.insert([row])
             return WriteResult(inserted=result.inserted, upserted_id=row["_id"], errors=result.errors)
-        self._replace(new.drop("__hit", "__changed"))
+        if changed:
+            self._publish_update("replace" if is_replacement(update) else "update", new)
+        self._replace(new.drop("__hit", "__changed", "__before"))
         return WriteResult(matched=n, modified=changed)
 
     def upsert_document(self, filter: dict, update: dict) -> dict:
@@ -303,7 +396,9 @@ class Collection:
         hit = self._hit(filter, many)
         df = self.ordered
         gone = df.where(hit).count()
-        self._replace(df.where(~hit))
+        if gone:
+            self._publish("delete", df.where(hit), before=True)
+        self._replace(self._written(df.where(~hit)))
         return WriteResult(deleted=gone)
 
     def find_and_modify(self, filter: dict | None, update: dict | None = None, sort: dict | None = None, remove: bool = False, new: bool = False, upsert: bool = False) -> dict | None:
@@ -312,7 +407,9 @@ class Collection:
         if old is None and not (upsert and update):
             return None
         if remove:
-            self._replace(self.ordered.where(~self._hit(filter, False, sort)))
+            hit = self._hit(filter, False, sort)
+            self._publish("delete", self.ordered.where(hit), before=True)
+            self._replace(self._written(self.ordered.where(~hit)))
             return old.asDict(recursive=True)
         changed = self.updated(filter, update or {}, False, sort)
         result = self.update(filter, update or {}, upsert=upsert, sort=sort)
@@ -320,7 +417,7 @@ class Collection:
             return old.asDict(recursive=True) if old else None
         if result.upserted_id is not None:
             return self.find_one({"_id": result.upserted_id})
-        row = changed.where("__hit").drop("__hit", "__changed", ORDER).first()
+        row = changed.where("__hit").drop("__hit", "__changed", "__before", ORDER).first()
         return row.asDict(recursive=True)
 
     # --- indexes -------------------------------------------------------------
@@ -335,6 +432,13 @@ class Collection:
     def list_indexes(self) -> list[Index]:
         return [Index("_id_", {"_id": 1}, unique=True), *self.indexes.values()]
 
+    def index_table(self) -> DataFrame:
+        """name, keys (JSON), unique, sparse, partial (JSON) and expireAfterSeconds of all indexes."""
+        import json
+
+        rows = [(i.name, json.dumps(i.keys), i.unique, i.sparse, None if i.partial is None else json.dumps(i.partial, default=str), None if i.expire_after is None else float(i.expire_after)) for i in self.list_indexes()]
+        return self.database.spark.createDataFrame(rows, "name string, keys string, unique boolean, sparse boolean, partial string, expireAfterSeconds double")
+
     def drop_index(self, name: str) -> None:
         if name not in self.indexes:
             raise EngineError("IndexNotFound", f"index not found with name [{name}]")
@@ -402,10 +506,57 @@ def _appended(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
 
 
 class Database:
-    """Named collections."""
-
-    def __init__(self, spark: SparkSession, name: str = "main"):
-        self.spark, self.name, self._collections = spark, name, {}
+    """Named collections.
+
+    log: a ``ChangeLog`` that every write and namespace operation publishes
+    to.  versions: a folder that executors share, to which writes store each
+    new version of a collection; without it, versions are plans over the
+    collection that was registered.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "main", log: Any = None, versions: str | None = None):
+        self.spark, self.name, self.log, self.versions = spark, name, log, versions
+        self._collections: dict[str, Collection] = {}
+
+    def _record(self, kind: str, coll: str | None, **more: Any) -> None:
+        if self.log is not None:
+            self.log.record(kind, self.name, coll, **more)
+
+    def changed(self) -> list[str]:
+        """Names of the collections that were written to since they were registered."""
+        return [n for n, c in self._collections.items() if c.version]
+
+    def watch(self, options: dict | None = None, coll: str | None = None, stages: list[dict] | None = None, streaming: bool = True) -> DataFrame:
+        """Events of a collection, or of all; ``options`` are those of $changeStream."""
+        if self.log is None:
+            raise EngineError("IllegalOperation", "$changeStream needs a database with a change log")
+        if not isinstance(options or {}, dict):
+            raise bad_value("$changeStream needs a document")
+        known = {"fullDocument", "fullDocumentBeforeChange", "resumeAfter", "startAfter", "startAtOperationTime", "allChangesForCluster"}
+        options = options or {}
+        if set(options) - known:
+            raise EngineError("InvalidOptions", f"unknown options of $changeStream: {sorted(set(options) - known)}")
+        after = options.get("resumeAfter") or options.get("startAfter")
+        after = after.get("_data") if isinstance(after, dict) else after
+        whole = bool(options.get("allChangesForCluster"))
+        return self.log.watch(None if whole else self.name, None if whole else coll, stages, after, options.get("startAtOperationTime"), options.get("fullDocument", "default"), options.get("fullDocumentBeforeChange", "off"), streaming)
+
+    def coll_mod(self, name: str, index: dict | None = None) -> dict:
+        """Change an index's time to live; the index is given by its name or keyPattern."""
+        if name not in self._collections:
+            raise EngineError("NamespaceNotFound", "ns does not exist")
+        if not index:
+            return {}
+        own = self._collections[name].indexes.values()
+        found = next((i for i in own if i.name == index["name"] if isinstance(index.get("name"), str)), None) if "name" in index else next((i for i in own if i.keys == index.get("keyPattern")), None)
+        if found is None:
+            raise EngineError("IndexNotFound", "cannot find index for collMod")
+        reply = {}
+        if "expireAfterSeconds" in index:
+            if found.expire_after is not None:
+                reply["expireAfterSeconds_old"] = found.expire_after
+            found.expire_after = reply["expireAfterSeconds_new"] = int(index["expireAfterSeconds"])
+        return reply
 
     def collection(self, name: str) -> Collection:
         """A collection; one that does not exist reads as empty."""
@@ -422,11 +573,14 @@ class Database:
     def create(self, name: str) -> Collection:
         if name in self._collections:
             raise EngineError("NamespaceExists", f"{name} exists")
-        return self.register(name, self.spark.createDataFrame([], EMPTY))
+        self._record("create", name)
+        # The first insert decides the type of _id.
+        return self.register(name, self.spark.createDataFrame([], T.StructType([T.StructField("_id", T.NullType())])))
 
     def drop(self, name: str) -> None:
         if self._collections.pop(name, None) is None:
             raise EngineError("NamespaceNotFound", f"{name} does not exist")
+        self._record("drop", name)
 
     def rename(self, name: str, to: str, drop_target: bool = False) -> None:
         if name not in self._collections:
@@ -435,6 +589,7 @@ class Database:
             raise EngineError("NamespaceExists", f"{to} exists")
         self._collections[to] = self._collections.pop(name)
         self._collections[to].name = to
+        self._record("rename", name, to=(self.name, to))
 
     def list_collections(self, filter: dict | None = None) -> DataFrame:
         df = self.spark.createDataFrame([(n, "collection") for n in self._collections], "name string, type string")
@@ -449,7 +604,9 @@ class Database:
         return Collection(self, "$documents", df)
 
     def aggregate(self, stages: list[dict]) -> DataFrame:
-        """A pipeline that brings its own documents: its first stage is $documents."""
+        """A pipeline that brings its own documents: its first stage is $documents, or $changeStream for the events of all collections."""
+        if stages and "$changeStream" in stages[0]:
+            return self.watch(stages[0]["$changeStream"], None, stages[1:])
         if not stages or "$documents" not in stages[0]:
             raise bad_value("a pipeline without a collection begins with $documents")
         return self.documents(stages[0]["$documents"]).aggregate(stages[1:])
@@ -474,11 +631,15 @@ class Catalog:
     __getitem__ = database
 
     def drop_database(self, name: str) -> None:
-        self._databases.pop(name, None)
+        gone = self._databases.pop(name, None)
+        if gone is not None:
+            for own in list(gone._collections):
+                gone._record("drop", own)
+            gone._record("dropDatabase", None)
 
     def list_databases(self, filter: dict | None = None) -> DataFrame:
         df = self.spark.createDataFrame([(n, len(d._collections)) for n, d in self._databases.items()], "name string, collections int")
         return df.where(compile_filter(filter or {}, df.schema))
 
 
-__all__ = ["Catalog", "Collection", "Cursor", "Database", "Index", "WriteResult"]
+__all__ = ["Catalog", "Collection", "Cursor", "Database", "Index", "WriteResult", "deadline"]

@@ -70,7 +70,9 @@ def run(frame: Frame, stages: list[dict], context: Context) -> Frame:
             if joined is not None:
                 frame, k = joined, k + 2
                 continue
-        if name in _own:
+        if name == "$sort" and name not in _own and _unordered(stages[k + 1 :]):
+            frame = _sort(frame, spec, context, rows=False)
+        elif name in _own:
             frame = _own[name](frame, spec, context)
         elif name in _STAGES:
             frame = _STAGES[name](frame, spec, context)
@@ -80,6 +82,17 @@ def run(frame: Frame, stages: list[dict], context: Context) -> Frame:
     return frame
 
 
+def _unordered(after: list[dict]) -> bool:
+    """Whether the order of rows is lost before any stage needs it; the hidden order of accumulators does without."""
+    for stage in after:
+        name = next(iter(stage))
+        if name in ("$group", "$count", "$sort"):
+            return True
+        if name not in ("$match", "$addFields", "$set", "$project", "$unwind", "$setWindowFields"):
+            return False
+    return False
+
+
 def output(frame: Frame) -> DataFrame:
     """The frame's documents without hidden columns."""
     return frame.df.drop(*hidden(frame.df.schema))
@@ -126,10 +139,11 @@ def sort_spec(schema: T.StructType, spec: Any) -> list[tuple[Typed, bool]]:
     return out
 
 
-def _sort(frame: Frame, spec: Any, context: Context) -> Frame:
+def _sort(frame: Frame, spec: Any, context: Context, rows: bool = True) -> Frame:
+    """rows: also put the rows in order, not only their hidden column."""
     keys = [(x, up) for x, up in sort_spec(frame.df.schema, spec) if not isinstance(x.type, T.NullType)]
     df = frame.df
-    if not frame.keys:
+    if not frame.keys and rows:
         df = df.orderBy(*[c for x, up in keys for c in sort_columns(x, up)], quoted(ORDER).asc())
     try:
         order = F.struct(*[order_key(x, up).alias(f"k{i}") for i, (x, up) in enumerate(keys)], quoted(ORDER).alias("o"))
@@ -348,10 +362,14 @@ def _lookup(frame: Frame, spec: Any, context: Context) -> Frame:
 
 def _plain_join(frame: Frame, spec: Any, after: list[dict], context: Context) -> Frame | None:
     """$lookup with the stage after it as one join, where that gives the same documents."""
-    if not isinstance(spec, dict) or "pipeline" in spec or "let" in spec or frame.keys:
+    if not isinstance(spec, dict) or spec.get("let") or frame.keys:
+        return None
+    source, name, local, foreign, _, stages = _lookup_parts(spec)
+    if local is None:
         return None
-    source, name, local, foreign, _, _ = _lookup_parts(spec)
     left = root(frame.df.schema, local)
+    if stages:
+        return _joined_pipeline(frame, name, left, foreign, context.collection(source), stages, after, context)
     if isinstance(left.type, T.ArrayType) or "." in name:
         return None
     (stage, value), = after[0].items()
@@ -375,6 +393,29 @@ def _plain_join(frame: Frame, spec: Any, after: list[dict], context: Context) ->
     return None
 
 
+def _unwound(name: str, after: dict) -> bool | None:
+    """Whether a stage unwinds the field and keeps documents without elements; None for other stages."""
+    (stage, value), = after.items()
+    if stage != "$unwind":
+        return None
+    path, keep = (value, False) if isinstance(value, str) else (value.get("path"), bool(value.get("preserveNullAndEmptyArrays"))) if isinstance(value, dict) else (None, False)
+    return keep if path == f"${name}" else None
+
+
+def _joined_pipeline(frame: Frame, name: str, left: Typed, foreign: str, right: DataFrame, stages: list[dict], after: list[dict], context: Context) -> Frame | None:
+    """$lookup with a sub-pipeline, and the $unwind after it: the sub-pipeline's documents are joined, never gathered."""
+    keep = _unwound(name, after[0])
+    if keep is None or isinstance(left.type, T.ArrayType) or "." in name or "$count" in stages[-1]:
+        return None
+    key = f"__key{sum(n.startswith('__key') for n in frame.df.columns)}_"
+    a, b = _same(left, root(right.schema, foreign))
+    got = run(Frame(right.withColumn(key, b), (key,)), stages, Context(context.collection))
+    other = got.df.select(quoted(key), _documents(got.df).column.alias("__one"), quoted(ORDER).alias("__at"))
+    df = frame.df.join(other, a.eqNullSafe(quoted(key)), "left" if keep else "inner")
+    order = F.struct(quoted(ORDER).alias("o"), quoted("__at").alias("p"))
+    return frame.but(df.withColumns({name: quoted("__one"), ORDER: order}).drop(key, "__one", "__at"))
+
+
 def _dead(name: str, after: list[dict]) -> bool:
     """Whether no later stage sees the field."""
     if not after:

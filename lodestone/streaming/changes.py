@@ -1,14 +1,17 @@
 """Change streams: an append-only log of events, read as a stream.
 
 The log is a folder of JSON files; every event has the next number of one
-sequence.  A batch of events is one file, named by its first number, so that a
-reader lists files in order.  The stream is a file source with a fixed schema:
-its checkpoint is the resume position, and ``after`` or ``at`` set where a new
-stream begins.
+sequence.  A batch of events is a folder named by its first number.  A writer
+claims numbers by creating a file of that name, which only one of several can
+do; the file holds the batch's last number, so the end of the log is known
+from a list of names and one small file.  The stream is a file source with a
+fixed schema: its checkpoint is the resume position, and ``after`` or ``at``
+set where a new stream begins.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -52,16 +55,65 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, path: str, retention: int = RETENTION):
         self.spark, self.path, self.retention = spark, path, retention
 
+    def _fs(self, path: str):
+        """File system and path object; claims and batches may lie in any store that Spark reaches."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def events(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(EVENT).json(f"{self.path}/events")
-        except Exception as error:  # a log that nothing was written to
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], EVENT)
-            raise
+        fs, at = self._fs("events")
+        if not fs.exists(at):  # a log that nothing was written to
+            return self.spark.createDataFrame([], EVENT)
+        return self.spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(f"{self.path}/events")
+
+    def _claims(self) -> list[str]:
+        fs, at = self._fs("claims")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if not x.getPath().getName().startswith((".", "_"))) if fs.exists(at) else []
+
+    def _end(self, claim: str) -> int:
+        fs, at = self._fs(f"claims/{claim}")
+        for _ in range(200):  # a claim that was made this moment may not be filled yet
+            stream = fs.open(at)
+            try:
+                return int(stream.readUTF())
+            except Exception as error:
+                if "EOFException" not in str(error):
+                    raise
+                time.sleep(0.05)
+            finally:
+                stream.close()
+        raise EngineError("UnknownError", f"claim {claim} of the change log was never filled")
 
     def last(self) -> int:
-        return self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        """Number of the last event, in time that does not depend on the log's length."""
+        names = self._claims()
+        return self._end(names[-1]) if names else 0
+
+    def _claim(self, count: int, begin: int | None = None) -> int:
+        """First of ``count`` numbers that no other writer has."""
+        while True:
+            first = self.last() + 1 if begin is None else begin
+            if self._create(f"claims/{first:016x}", str(first + count - 1), begin is not None):
+                return first
+
+    def _create(self, path: str, text: str, replace: bool) -> bool:
+        """Whether the file was made: of several writers that try at once, one succeeds."""
+        fs, at = self._fs(path)
+        try:
+            if at.toUri().getScheme() in (None, "file") and not replace:
+                # Local folders have no exclusive creation in Hadoop's interface, but in Java's own.
+                files, folder = self.spark.sparkContext._jvm.java.nio.file.Files, at.toUri().getPath()
+                fs.mkdirs(at.getParent())
+                files.createFile(self.spark.sparkContext._jvm.java.io.File(folder).toPath(), self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.java.nio.file.attribute.FileAttribute, 0))
+                replace = True
+            stream = fs.create(at, replace)
+        except Exception as error:
+            if "AlreadyExists" in str(error) or "already exists" in str(error):
+                return False
+            raise
+        stream.writeUTF(text)
+        stream.close()
+        return True
 
     def append(self, events: DataFrame) -> int:
         """Write events that have the log's columns; without ``seq`` they get the next numbers, in the order of ``__ord`` if they have it.
@@ -69,23 +121,34 @@ class ChangeLog:
         Numbers come from each partition's size, not from one global window;
         the rows are written once before, so that both readings agree.
         """
-        if "seq" not in events.columns:
+        have = set(events.columns)
+        if "seq" in have:
+            first, last, count = events.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+            if not count:
+                return self.last()
+            self._claim(last - first + 1, first)
+        else:
             rows = events.orderBy(ORDER).drop(ORDER) if ORDER in events.columns else events
             place = F.monotonically_increasing_id()
-            staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-            rows.select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row")).write.parquet(staged)
-            rows = self.spark.read.parquet(staged)
-            total, begins = self.last() + 1, {}
-            for r in rows.groupBy("__part").count().orderBy("__part").collect():  # one row for each partition
+            staged = f"staged-{uuid.uuid4().hex}"
+            rows.select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__row")).write.parquet(f"{self.path}/{staged}")
+            rows = self.spark.read.parquet(f"{self.path}/{staged}")
+            sizes = rows.groupBy("__part").count().orderBy("__part").collect()  # one row for each partition
+            if not sizes:
+                return self.last()
+            first = total = self._claim(sum(r["count"] for r in sizes))
+            begins = {}
+            for r in sizes:
                 begins[r["__part"]] = total
                 total += r["count"]
-            if not begins:
-                return self.last()
             begin = F.create_map(*[F.lit(x).cast("bigint") for pair in begins.items() for x in pair])
             events = rows.withColumn("seq", begin[F.col("__part")] + F.col("__row")).drop("__part", "__row")
-        have = set(events.columns)
-        shaped = events.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT.fields])
-        shaped.write.mode("append").json(f"{self.path}/events")
+        shaped = events.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have or f.name == "seq" else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT.fields])
+        shaped.write.json(f"{self.path}/events/{first:016x}")
+        if "seq" not in have:
+            fs, at = self._fs(staged)
+            fs.delete(at, True)
+        self.trim()
         return self.last()
 
     def record(self, kind: str, db: str, coll: str | None = None, key: Any = None, document: dict | None = None, before: dict | None = None, to: tuple[str, str] | None = None) -> int:
@@ -99,12 +162,18 @@ class ChangeLog:
             old, new = before or {}, document or {}
             change = ({k: json.dumps(v, default=str) for k, v in new.items() if k not in old or old[k] != v}, [k for k in old if k not in new])
         text = lambda d: None if d is None else json.dumps(d, default=str)
-        seq = self.last() + 1
+        seq = self._claim(1)
         row = (seq, kind, None, None, (db, coll), to, None if key is None else json.dumps({"_id": key}, default=str), text(document), text(before), change)
         df = self.spark.createDataFrame([row], EVENT).withColumns({"clusterTime": F.current_timestamp(), "wallTime": F.current_timestamp()})
-        df.coalesce(1).write.mode("append").json(f"{self.path}/events")
+        df.coalesce(1).write.json(f"{self.path}/events/{seq:016x}")
+        self.trim()
         return seq
 
+    def oldest(self, last: int | None = None) -> int:
+        """Number of the oldest event that a stream can begin after."""
+        last = self.last() if last is None else last
+        return max(0, last - self.retention) if last > self.retention * TRIM_AT // RETENTION else 0
+
     def begin(self, after: str | None = None, at: Any = None) -> Column:
         """Which events a stream sees: after a token, or from a time on; by default those to come."""
         if after is not None and at is not None:
@@ -115,8 +184,7 @@ class ChangeLog:
                 seq = int(after, 16)
             except ValueError:
                 raise bad_value("a resume token is a hexadecimal number") from None
-            oldest = max(0, last - self.retention) if last > self.retention * TRIM_AT // RETENTION else 0
-            if seq < oldest:
+            if seq < self.oldest(last):
                 raise EngineError("ChangeStreamHistoryLost", "the resume point is no longer in the log")
             return F.col("seq") > seq
         if at is not None:
@@ -129,7 +197,10 @@ class ChangeLog:
         streaming: a stream, else a batch read of what is there.
         """
         start = self.begin(after, at)
-        source = self.spark.readStream.schema(EVENT).json(f"{self.path}/events") if streaming else self.events()
+        if streaming:
+            fs, at = self._fs("events")
+            fs.mkdirs(at)
+        source = self.spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").json(f"{self.path}/events") if streaming else self.events()
         rows = source.where(start).where(in_scope(db, coll))
         if coll is not None:
             rows = until_invalidated(rows, self._ends(start, db, coll))
@@ -141,9 +212,16 @@ class ChangeLog:
         return self.events().where(start).where(in_scope(db, coll)).where(ends).agg(F.min("seq")).first()[0]
 
     def trim(self) -> int:
-        """Number of the oldest event that a stream can begin after."""
-        last = self.last()
-        return max(0, last - self.retention) if last > self.retention * TRIM_AT // RETENTION else 0
+        """Delete batches that end before the oldest event that a stream can begin after; returns its number."""
+        oldest = self.oldest()
+        names = self._claims() if oldest else []
+        for name, after in zip(names, names[1:], strict=False):
+            if int(after, 16) > oldest:
+                break
+            for folder in ("events", "claims"):
+                fs, at = self._fs(f"{folder}/{name}")
+                fs.delete(at, True)
+        return oldest
 
 
 def in_scope(db: str | None, coll: str | None) -> Column:
@@ -158,9 +236,9 @@ def in_scope(db: str | None, coll: str | None) -> Column:
 def until_invalidated(rows: DataFrame, end: int | None) -> DataFrame:
     """A collection's stream ends with its drop or rename, which an invalidate event follows.
 
-    A drop that arrives in a later micro-batch is doubled into its invalidate
-    event in any case; events after it are cut as soon as it is in the log
-    when the stream starts.
+    ``end``: the number of such an event, if the log has one already.  One
+    that arrives later is followed by its invalidate event here, and ``drain``
+    and ``follow`` end with it.
     """
     if end is not None:
         rows = rows.where(F.col("seq") <= end)
@@ -211,9 +289,54 @@ def _nothing(name: str) -> DataFrame:
     raise EngineError("IllegalOperation", "a change stream reads no other collection")
 
 
+def _until_invalidated(handle: Callable[[DataFrame, int], None], checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """``handle`` for batches up to the first invalidate event; that the stream has ended is kept beside its checkpoint."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/invalidated")
+        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(mark):
+            return
+        end = None
+        if {"_id", "operationType"} <= set(batch.columns):
+            end = batch.where("operationType = 'invalidate'").agg(F.min("_id")).first()[0]
+        handle(batch if end is None else batch.where(F.col("_id") <= end), number)
+        if end is not None:
+            fs.create(mark, True).close()
+
+    return run
+
+
 def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Everything that has not been handled yet, once: the checkpoint is the position to resume from."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(_until_invalidated(handle, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def follow(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], max_wait: float, every: str = "200 milliseconds") -> None:
+    """Events as they come, for ``max_wait`` seconds; the checkpoint is the position to resume from."""
+    query = stream.writeStream.foreachBatch(_until_invalidated(handle, checkpoint)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        query.awaitTermination(max_wait)
+    finally:
+        query.stop()
+
+
+def change_rows(kind: str, db: str, coll: str, rows: DataFrame, key: Column, after: Column | None = None, before: Column | None = None, description: Column | None = None) -> DataFrame:
+    """Rows of a write as events without numbers; ``key``, ``after`` and ``before`` are JSON."""
+    none = F.lit(None).cast("string")
+    own = EVENT["updateDescription"].dataType
+    return rows.select(
+        F.lit(kind).alias("operationType"),
+        F.current_timestamp().alias("clusterTime"),
+        F.current_timestamp().alias("wallTime"),
+        F.struct(F.lit(db).alias("db"), F.lit(coll).alias("coll")).alias("ns"),
+        key.alias("documentKey"),
+        (none if after is None else after).alias("fullDocument"),
+        (none if before is None else before).alias("fullDocumentBeforeChange"),
+        (F.lit(None).cast(own) if description is None else description.cast(own)).alias("updateDescription"),
+        *([ORDER] if ORDER in rows.columns else []),
+    )
 
 
 def describe_update(before: DataFrame, after: DataFrame, key: str = "_id") -> DataFrame:

@@ -252,3 +252,28 @@ def test_variant_sort_group_distinct_and_unwind(spark, db):
     assert sorted(r["n"] for r in groups.collect()) == [1, 1, 1, 2, 2]
     assert c.distinct("v.x").count() == 6
     assert c.aggregate([{"$unwind": "$v.x"}]).count() == 6
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sort_before_a_group_sorts_no_rows(db):
+    c = db.documents([{"_id": i, "k": i % 2, "n": (i * 7) % 5} for i in range(10)])
+    got = c.aggregate([{"$sort": {"n": -1}}, {"$match": {"n": {"$gte": 0}}}, {"$group": {"_id": "$k", "first": {"$first": "$_id"}, "all": {"$push": "$n"}}}])
+    assert "rangepartitioning" not in plan_of(got)
+    assert {r["_id"]: (r["first"], r["all"]) for r in got.collect()} == {0: (2, [4, 3, 2, 1, 0]), 1: (7, [4, 3, 2, 1, 0])}
+    assert "rangepartitioning" in plan_of(c.aggregate([{"$sort": {"n": -1}}, {"$project": {"n": 1}}]))
+
+
+def test_a_sub_pipeline_with_unwind_is_a_join(db):
+    db._collections["l"] = db.documents([{"_id": i, "k": i % 3 if i < 8 else None} for i in range(9)])
+    db._collections["r"] = db.documents([{"_id": i, "k": i % 2, "n": i} for i in range(6)])
+    lookup = {"$lookup": {"from": "r", "localField": "k", "foreignField": "k", "pipeline": [{"$sort": {"n": -1}}, {"$limit": 2}, {"$project": {"n": 1}}], "as": "x"}}
+    for keep in (False, True):
+        unwind = {"$unwind": {"path": "$x", "preserveNullAndEmptyArrays": keep}}
+        joined = db["l"].aggregate([lookup, unwind])
+        nested = db.register("n", db["l"].aggregate([lookup]), ["_id"]).aggregate([unwind])
+        assert "collect_list" not in plan_of(joined) and "Generate" not in plan_of(joined)
+        both = [sorted(str((r["_id"], r["x"] and r["x"]["n"])) for r in df.collect()) for df in (joined, nested)]
+        assert both[0] == both[1] and len(both[0]) == (12 if not keep else 15)

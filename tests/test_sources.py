@@ -9,7 +9,8 @@ import pytest
 from lodestone.functions.errors import EngineError
 from lodestone.plans.collection import Catalog
 from lodestone.sources import bson, files
-from lodestone.streaming.changes import ChangeLog, describe_update, drain
+from lodestone.plans.collection import Catalog, Database
+from lodestone.streaming.changes import ChangeLog, describe_update, drain, follow
 
 
 def element(kind, name, body):
@@ -139,3 +140,77 @@ def test_describe_update(spark):
     new = spark.createDataFrame([(1, "z", None), (2, "b", 6)], "_id int, s string, n int")
     got = describe_update(old, new).collect()
     assert len(got) == 1 and list(got[0]["updatedFields"]) == ["s"] and got[0]["removedFields"] == ["n"]
+
+
+def test_two_writers_never_share_a_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: ChangeLog(spark, log.path).record("insert", "app", "c", k, {"_id": k}), range(18)))
+    assert sorted(got) == list(range(1, 19)) and log.last() == 18
+    assert sorted(r["seq"] for r in log.events().collect()) == list(range(1, 19))
+
+
+def test_trimming_deletes_old_batches(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), retention=4)
+    for k in range(9):
+        log.record("insert", "app", "c", k, {"_id": k})
+    oldest = log.oldest()
+    kept = sorted(r["seq"] for r in log.events().collect())
+    assert oldest == 5 and kept == [5, 6, 7, 8, 9] and log.last() == 9
+    assert [r["_id"] for r in log.watch(after=f"{oldest:016x}", streaming=False).orderBy("_id").collect()] == [f"{k:016x}" for k in (6, 7, 8, 9)]
+    with pytest.raises(EngineError, match="HistoryLost"):
+        log.watch(after=f"{oldest - 1:016x}", streaming=False)
+
+
+def test_a_drop_that_arrives_later_ends_the_stream(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    db = Database(spark, "app", log=log)
+    c = db.create("c")
+    stream, seen = log.watch("app", "c", after="0" * 16), []
+    handle = lambda batch, number: seen.extend(r["operationType"] for r in batch.orderBy("_id").collect())
+    drain(stream, str(tmp_path / "at"), handle)
+    assert seen == ["create"]
+    c.insert([{"_id": 1}])
+    db.drop("c")
+    db.create("c").insert([{"_id": 2}])
+    drain(stream, str(tmp_path / "at"), handle)
+    drain(stream, str(tmp_path / "at"), handle)
+    assert seen == ["create", "insert", "drop", "invalidate"]
+
+
+def test_following_a_stream_for_a_while(spark, tmp_path):
+    db = Database(spark, "app", log=ChangeLog(spark, str(tmp_path / "log")))
+    db.create("c").insert([{"_id": k} for k in range(3)])
+    seen = []
+    begin = time.monotonic()
+    follow(db["c"].aggregate([{"$changeStream": {"resumeAfter": {"_data": "0" * 16}}}, {"$match": {"operationType": "insert"}}]), str(tmp_path / "at"), lambda batch, n: seen.extend(r["_id"] for r in batch.collect()), max_wait=6)
+    assert time.monotonic() - begin < 30 and sorted(seen) == [f"{k:016x}" for k in (2, 3, 4)]
+
+
+def test_writes_publish_events(spark, tmp_path):
+    cat = Catalog(spark)
+    db = cat["app"]
+    db.log = ChangeLog(spark, str(tmp_path / "log"))
+    c = db.create("c")
+    c.insert([{"_id": 1, "n": 1, "s": "x"}, {"_id": 2, "n": 2, "s": "y"}])
+    c.update({"_id": 1}, {"$set": {"n": 5}, "$unset": {"s": ""}})
+    c.update({"_id": 1}, {"$set": {"n": 5}})
+    c.update({"_id": 2}, {"n": 7})
+    c.find_and_modify({"_id": 2}, {"$inc": {"n": 1}})
+    c.update({"_id": 9}, {"$set": {"n": 0}}, upsert=True)
+    c.delete({"_id": 1})
+    c.delete({"_id": 77})
+    db.rename("c", "d")
+    db.create("e")
+    cat.drop_database("app")
+    rows = db.log.watch(after="0" * 16, streaming=False, full_document="updateLookup", before_change="whenAvailable").orderBy("_id").collect()
+    assert [r["operationType"] for r in rows] == ["create", "insert", "insert", "update", "replace", "update", "insert", "delete", "rename", "create", "drop", "drop", "dropDatabase"]
+    change = rows[3]["updateDescription"]
+    assert dict(change["updatedFields"]) == {"n": "5"} and change["removedFields"] == ["s"]
+    assert rows[7]["fullDocumentBeforeChange"].toPython() == {"_id": 1, "n": 5} and rows[3]["documentKey"].toPython() == {"_id": 1}
+    with pytest.raises(EngineError, match="IllegalOperation"):
+        Database(spark).aggregate([{"$changeStream": {}}])
+    with pytest.raises(EngineError, match="InvalidOptions"):
+        db.watch({"nope": 1})

@@ -3,7 +3,7 @@
 import pytest
 
 from lodestone.functions.errors import EngineError
-from lodestone.plans.collection import Catalog, Index
+from lodestone.plans.collection import Catalog, Database, Index, deadline
 
 
 def docs(c):
@@ -157,3 +157,54 @@ def test_namespaces_distinct_cursor_stats_explain(spark):
     assert cat.list_databases({"name": "app"}).count() == 1
     cat.drop_database("app")
     assert cat.list_databases().count() == 0
+
+
+def test_changed_collections_and_restore(db):
+    c = make(db, [{"_id": 1, "n": 1}])
+    db.register("other", c.df)
+    assert db.changed() == []
+    c.update({}, {"$set": {"n": 2}})
+    assert db.changed() == ["c"]
+    c.restore()
+    assert db.changed() == [] and docs(c)[1]["n"] == 1
+
+
+def test_stored_versions_keep_plans_small(spark, tmp_path):
+    db = Database(spark, versions=str(tmp_path / "versions"))
+    c = make(db, [{"_id": k, "n": 0} for k in range(5)])
+    sizes = []
+    for k in range(4):
+        assert c.update({"_id": {"$lt": k + 1}}, {"$inc": {"n": 1}}, many=True).modified == k + 1
+        sizes.append(len(c.df._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 1.5 * min(sizes) and {d: v["n"] for d, v in docs(c).items()} == {0: 4, 1: 3, 2: 2, 3: 1, 4: 0}
+    c.delete({"_id": 0})
+    c.insert([{"_id": 9, "n": 1}])
+    assert sorted(docs(c)) == [1, 2, 3, 4, 9]
+
+
+def test_collmod(db):
+    c = make(db, [{"_id": 1, "at": 1}])
+    c.create_index({"at": 1}, expire_after=5)
+    assert db.coll_mod("c", {"name": "at_1", "expireAfterSeconds": 60}) == {"expireAfterSeconds_old": 5, "expireAfterSeconds_new": 60}
+    assert db.coll_mod("c", {"keyPattern": {"at": 1}, "expireAfterSeconds": 7})["expireAfterSeconds_new"] == 7 and db.coll_mod("c") == {}
+    with pytest.raises(EngineError, match="IndexNotFound"):
+        db.coll_mod("c", {"name": "none", "expireAfterSeconds": 60})
+    with pytest.raises(EngineError, match="NamespaceNotFound"):
+        db.coll_mod("nowhere")
+
+
+def test_deadlines(spark, db):
+    from pyspark.sql import functions as F
+
+    slow = spark.range(0, 4, 1, 4).select(F.expr("aggregate(sequence(1, 60000000), 0L, (a, x) -> a + x * id)").alias("n"))
+    with pytest.raises(EngineError, match="MaxTimeMSExpired"), deadline(spark, 300):
+        slow.collect()
+    with deadline(spark, 60_000):
+        assert spark.range(3).count() == 3
+    for bad in ("x", -1, 1 << 40, True):
+        with pytest.raises(EngineError, match="BadValue"), deadline(spark, bad):
+            pass
+    c = make(db, [{"_id": k} for k in range(5)])
+    assert len(c.cursor({}, batch_size=3, max_time_ms=60_000).next_batch()) == 3
+    with pytest.raises(EngineError, match="BadValue"):
+        c.cursor({}, max_time_ms=-1)
