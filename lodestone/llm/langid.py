@@ -53,15 +53,18 @@ def _words(batch: pa.RecordBatch, index: int) -> Iterator[tuple[pa.RecordBatch,
     letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     done = 0
     for rows, buf, at in pieces(iter([pa.RecordBatch.from_arrays([low], names=["text"])])):
-        kind = np.zeros(len(buf) + 5, bool)
-        kind[1 : len(buf) + 1] = _LETTER[buf]
-        flat = np.full(len(buf) + 5, 32, np.uint32)
-        flat[1 : len(buf) + 1] = np.where(kind[1 : len(buf) + 1], buf, 32)
-        lo, hi = runs(kind[1 : len(buf) + 1], at)
+        n = rows.num_rows
+        # Blanks after every document keep n-grams from reaching into the next.
+        place = np.arange(1, len(buf) + 1) + 4 * np.repeat(np.arange(n), np.diff(at))
+        at = at + 4 * np.arange(n + 1)
+        kind = np.zeros(int(at[-1]) + 5, bool)
+        kind[place] = _LETTER[buf]
+        flat = np.full(len(kind), 32, np.uint32)
+        flat[place] = np.where(_LETTER[buf], buf, 32)
+        lo, hi = runs(kind[1 : int(at[-1]) + 1], at)
         gram = flat[:-3] | flat[1:-2] << np.uint32(8) | flat[2:-1] << np.uint32(16) | flat[3:] << np.uint32(24)
         gram = (gram * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        n = rows.num_rows
-        # flat is shifted by one: a word's n-grams begin one byte before it and end at its last byte
+        # flat is shifted by one: a word's n-grams begin from one byte before it to its last byte but one
         yield batch.slice(done, n), gram, lo, hi, owner(at, lo), letters[done : done + n]
         done += n
 
@@ -119,7 +122,7 @@ class Model:
                 break
             share = np.where(pi[live] > 0, pi[live], np.inf)
             trial = pi[live].copy()
-            trial[np.arange(len(live)), share.argmin(axis=1)] = 0
+            trial[np.arange(len(live)), size - 1 - share[:, ::-1].argmin(axis=1)] = 0  # the last of equal ones
             trial /= trial.sum(axis=1, keepdims=True)
             mine = np.zeros(len(has), bool)
             mine[live] = True
@@ -222,7 +225,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, held_out, lang_pred, score, languages and shares, one row
     for each row of ``docs``.  ``lang`` is read for the rows learned from only.
-    Repeated rows are judged each; an empty table gives an empty result.
+    Null texts and texts without a letter are ``und``; texts of any length are
+    read whole; of languages with equal shares the first by name is predicted.
+    Repeated rows are judged each; an empty table gives an empty result; other
+    columns, whatever their names, are not read.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(base.where("NOT held_out AND doc_id IS NOT NULL"))
@@ -230,7 +236,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of ``docs`` whose language is found with a share of ``least`` or more; all columns stay as they are."""
+    """Rows of ``docs`` whose language is found with a share of ``least`` or more; all columns stay as they are, and an empty table stays empty."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(base.where("NOT held_out AND doc_id IS NOT NULL"))
     at, schema = docs.columns.index("text"), docs.schema

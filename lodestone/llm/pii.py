@@ -189,7 +189,10 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``<KIND>``; overlapping spans become one, named by the first.  Null texts stay null."""
+    """``docs`` with every span of its text replaced by ``<KIND>``; overlapping spans become one, named by the first.
+
+    Null texts stay null, an empty table stays empty, and other columns stay as they are.
+    """
     prefix = "__pii_"
     found = find_spans(docs, text, prefix)
     source = F.col(f"`{text}`")

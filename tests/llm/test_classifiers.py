@@ -74,6 +74,54 @@ def test_language(spark, docs):
     assert all(r["held_out"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+def brute_proportions(model, text):
+    """One document's language shares, word by word, in plain Python."""
+    flat = re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode())
+    like = []
+    for w in re.finditer(rb"[^ ]+", flat):
+        numbers = [(int.from_bytes((b" " + flat + b"    ")[i : i + 4], "little") * 2654435761 % (1 << 32)) >> (32 - langid.BITS) for i in range(w.start(), w.end())]
+        log = [sum(float(row[k]) for k in numbers) * langid.TEMPER for row in model.table]
+        like.append([np.exp(x - max(log)) for x in log])
+    size = len(model.languages)
+
+    def steps(pi, times):
+        for _ in range(times):
+            new = [0.0] * size
+            for x in like:
+                whole = sum(p * y for p, y in zip(pi, x, strict=True))
+                for j in range(size):
+                    new[j] += pi[j] * x[j] / whole / len(like)
+            pi = new
+        return pi, sum(np.log(sum(p * y for p, y in zip(pi, x, strict=True))) for x in like)
+
+    pi, best = steps([1 / size] * size, langid.STEPS)
+    while sum(p > 0 for p in pi) > 1:
+        least = -min((p, -j) for j, p in enumerate(pi) if p > 0)[1]
+        trial = [0.0 if j == least else p for j, p in enumerate(pi)]
+        trial, ll = steps([p / sum(trial) for p in trial], langid.TRIAL_STEPS)
+        if ll + 0.5 * np.log(len(like) + 1) < best:
+            break
+        pi, best = trial, ll
+    return pi
+
+
+def test_language_against_brute_force(spark, docs):
+    model = langid.fit(docs.where("lang IS NOT NULL AND doc_id IS NOT NULL"))
+    texts = [r["text"] for r in docs.where("length(text) BETWEEN 100 AND 700 AND doc_id < 9000").orderBy("doc_id").limit(25).collect()]
+    texts += [texts[0][:300] + " " + texts[3][:300], "über straße", "the"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (_, gram, lo, hi, doc, _), *_ = langid._words(batch, 0)
+    got = model.proportions(gram, lo, hi, doc, len(texts))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, brute_proportions(model, t), atol=2e-3), t
+
+
+def test_language_of_ties_and_long_texts(spark):
+    rows = [(1, "zug zug zug", "b"), (2, "zug zug zug", "a"), (3, "mond " * 300_000, "c")]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame([(d, False, t) for d, t, _ in rows], "doc_id long, held_out boolean, text string"), langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+    assert got[1]["lang_pred"] == got[2]["lang_pred"] == "a" and got[3]["lang_pred"] == "c"
+
+
 def test_language_mixture(spark, docs):
     model = langid.fit(docs.where("lang IS NOT NULL"))
     by = {r["lang"]: r["text"] for r in docs.where("length(text) BETWEEN 1500 AND 4000 AND doc_id < 9000").orderBy("doc_id").collect()}
@@ -131,6 +179,44 @@ def test_toxicity(spark, docs, labels):
     assert all(r["predicted"] == 0 for r in got if r["doc_id"] > 9000)
 
 
+def test_network_against_brute_force():
+    """Largest activation of each filter, window by window; texts shorter than a filter, empty texts, and ties."""
+    net = toxicity.Network(seed=3)
+    texts = ["you are a stupid idiot indeed", "", "one", "two words", "same same same same", "été " * 40]
+    raw = [t.encode() for t in texts]
+    buf, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    slots, doc = toxicity.word_slots(buf, at)
+    margin = net.margin(slots, doc, len(texts))
+    for k in range(len(texts)):
+        x = [net.words[a] + net.words[b] for a, b in slots[doc == k]]
+        top = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                views = [net.shifts[w][f] + sum(float(x[i + j] @ net.filters[w][j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(w)) for i in range(len(x) - w + 1)]
+                top.append(max([0.0, *views]))
+        assert abs(float(np.dot(top, net.out)) + net.bias[0] - margin[k]) < 1e-4, texts[k]
+
+
+def test_threshold_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        margin, y, weight = rng.integers(-5, 5, 30).astype(float), (rng.random(30) < 0.4).astype(float), rng.random(30) + 0.1
+        if y.sum() == 0:
+            continue
+        f1 = lambda cut: 2 * weight[(margin >= cut) & (y == 1)].sum() / (weight[margin >= cut].sum() + weight[y == 1].sum())
+        assert f1(toxicity.threshold(margin, y, weight)) >= max(f1(c) for c in margin) - 1e-9
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    rows = [(i, ("vile " if i % 2 else "kind ") + "words here %d" % i, "en") for i in range(200)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    odd = [(1001, "kind words " * 120_000, "en"), (1002, "kind words " * 120_000 + "vile", "en"), (1003, "vile words here", "en"), (1003, "vile words here", "en"), (None, None, None)]
+    got = toxicity.detect(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(3), marks).collect()
+    assert len(got) == 205
+    by = {r["doc_id"]: r for r in got}
+    assert by[1001]["predicted"] == 0 and by[1002]["score"] > by[1001]["score"] and [r["score"] for r in got if r["doc_id"] == 1003] == [by[1003]["score"]] * 2
+
+
 def test_toxicity_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.detect(spark.createDataFrame([], "doc_id long, text string, lang string"), none).count() == 0

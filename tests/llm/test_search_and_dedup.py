@@ -77,6 +77,16 @@ def test_decontamination_of_empty_tables(spark, corpus):
     assert clean.count() == 5 and not any(r["contaminated"] for r in clean.collect())
 
 
+def test_decontamination_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(7)
+    long = " ".join("v%d" % rng.randint(0, 9999) for _ in range(260_000))
+    item = "q w e r t y u i o p a s d f"
+    docs = [(1, long + " " + item + " " + long[:2000]), (2, item), (3, long), (3, long), (4, "x" * 1_300_000)]
+    assert len(long) > common.PIECE_BYTES
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, EMPTY).repartition(2), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert rows(got.drop("items")) == brute_hits(docs, [(5, item)])
+
+
 def test_phrases_and_proximity(spark):
     index = decontaminate.build_index(spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "gamma x x x alpha"), (3, "alpha"), (4, "gamma")], EMPTY))
     hits = decontaminate.phrase_matches(index, decontaminate.phrases([("q", "beta gamma")])).collect()
@@ -242,6 +252,13 @@ def test_near_duplicates(spark, tile, monkeypatch):
     assert rows(simhash.near_duplicates(df)) == brute_groups(docs)
 
 
+def test_near_duplicates_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(12)
+    long = " ".join("v%d" % rng.randint(0, 9999) for _ in range(230_000))
+    docs = [(5, long), (6, long + " one more"), (7, "short text here"), (8, long.replace("v1 ", "v2 ")), (9, "y" * 1_200_000)]
+    assert rows(simhash.near_duplicates(spark.createDataFrame(docs, EMPTY))) == brute_groups(docs)
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 

@@ -422,9 +422,73 @@ def test_unknown_models_are_refused():
         codec.Codec(unigram_model() + message(3, varint(4 << 3) + varint(1)))
 
 
+def test_digest_of_repeated_rows_and_long_texts(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    texts = [(1, prose(200)), (1, prose(200)), (2, prose(1000) * 130), (None, None), (3, "中文" * 3000)]
+    assert len(texts[2][1]) > 1_000_000
+    got = sorted(((r["doc_id"], r["n_ids"], r["ids_sha256"], r["exact"]) for r in codec.digest(spark.createDataFrame(texts, EMPTY).repartition(2)).collect()), key=str)
+    want = [(d, len(ids := library.encode(t or "")), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True) for d, t in texts]
+    assert got == sorted(want, key=str)
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows from the plain rules of its operator, on a small table with all kinds of cases."""
+    import sentencepiece
+    from test_search_and_dedup import brute_groups, brute_hits
+
+    import corpus_pipeline
+    from lodestone.llm import langid
+
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    item = bench.where("size(split(text, ' ')) > 12").first()["text"]
+    base = real.where("length(text) > 300").orderBy("doc_id").first()["text"]
+    odd = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "123 !!", "en", "s", 1), (9004, base + " more words", "en", "s", 1), (9005, base, "en", "s", 1), (9005, base, "en", "s", 1), (9006, "the house " + item + " of the cat", "en", "s", 1), (9007, "the card 4111 1111 1111 1111 of the house, and mail me at a@b.co or +49 30 1234567 from 1.2.3.4 in the house", "en", "s", 1)]
+    docs = real.unionByName(spark.createDataFrame(odd, real.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r["doc_id"], r["n_ids"], tuple(r["ids"]), r["exact"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = {r["doc_id"] for r in langid.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= langid.LEAST_SCORE}
+    now = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
+    groups = collections.defaultdict(list)
+    for d, _, component in brute_groups(now):
+        groups[component].append(d)
+    now = [(d, t) for d, t in dict(now).items() if d in {min(g) for g in groups.values()}]
+    hit = {d for d, *_, bad in brute_hits(now, [(r["item_id"], r["text"]) for r in bench.collect()]) if bad}
+    assert 9006 in hit and 9003 not in good
+    now = [(d, t) for d, t in now if d not in hit]
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    want = []
+    for d, t in now:
+        parts, at = [], 0
+        assert {f"{k}:{a}:{b}" for k, a, b in brute_base(t)} <= set(found[d].split(","))
+        for a, b, k in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in found[d].split(",") if x)):
+            if a >= at:
+                parts += [t[at:a], f"<{k.upper()}>"]
+            at = max(at, -b)
+        clean = "".join(parts) + t[at:]
+        ids = library.encode(clean)
+        want.append((d, len(ids), tuple(ids), "▁" not in clean))
+    assert got == sorted(want)
+
+
+def test_pipeline_of_no_rows(spark, sf):
+    import corpus_pipeline
+    from lodestone.llm import common
+
+    now = common.table(spark, sf, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        now = common.stored(stage(spark, now, sf), name)
+        assert now.count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from lodestone.llm import common
