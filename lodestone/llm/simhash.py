@@ -168,12 +168,15 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def groups_of(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(node, root) of every linked fingerprint among the distinct ones in column fp."""
+    """(node, root) of every linked fingerprint among the distinct ones in column fp; none for an empty table."""
     return stored(components(links(stored(fps, "distinct"), radius)), "roots")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every fingerprint in ``docs`` (doc_id, fp); component_id is the smallest doc_id reachable."""
+    """(fp, component_id) of every fingerprint in ``docs`` (doc_id, fp); component_id is the smallest doc_id reachable.
+
+    An empty table gives an empty result; a null doc_id counts only where no other is reachable.
+    """
     least = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
     roots = groups_of(least.select("fp"), radius)
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "least")
@@ -217,5 +220,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = "__own"
     while own in docs.columns:
         own += "_"
-    kept = docs.withColumn(own, name).join(winners, F.col(own).eqNullSafe(F.col("__digest")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # One key for the join and for repeated rows, so that rows are dealt out once.
+    key = lambda digest, one: F.md5(F.concat(digest, F.coalesce(F.concat(F.lit("="), one.cast("string")), F.lit(""))).cast("binary"))
+    kept = docs.withColumn(own, key(name, docs["doc_id"])).join(winners.select(key(F.col("__digest"), F.col("__id")).alias(own)), own, "left_semi")
+    return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
