@@ -371,7 +371,7 @@ pipe(
 
 
 def window(name: str, output: dict, sql: str, sort: dict | None = None, by: Any = "$o_custkey") -> None:
-    spec = {"partitionBy": by, "output": {"w": output}} | ({"sortBy": sort} if sort else {})
+    spec = {"output": {"w": output}} | ({"partitionBy": by} if by else {}) | ({"sortBy": sort} if sort else {})
     pipe(name, "orders", [{"$setWindowFields": spec}, {"$project": {"o_orderkey": 1, "w": 1}}], f"SELECT o_orderkey, {sql} AS w FROM orders")
 
 
@@ -397,6 +397,12 @@ window(
     SORT,
 )
 
+WHOLE = "ORDER BY o_orderdate, o_orderkey"
+window("win_whole_docnum", {"$documentNumber": {}}, f"CAST(row_number() OVER ({WHOLE}) AS INTEGER)", SORT, None)
+window("win_whole_rank", {"$rank": {}}, "CAST(rank() OVER (ORDER BY o_orderpriority) AS INTEGER)", {"o_orderpriority": 1}, None)
+window("win_whole_running", {"$sum": "$o_custkey"}, f"CAST(sum(o_custkey) OVER ({WHOLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)", SORT, None)
+window("win_whole_frame", {"$max": "$o_totalprice", "window": {"documents": [-3, 3]}}, f"max(o_totalprice) OVER ({WHOLE} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)", SORT, None)
+
 # --- text search -------------------------------------------------------------
 
 _COUNT = "list_sum(list_transform(list_filter(regexp_split_to_array(lower({c}), '[ \\t\\n\\r]+'), lambda t: t IN ({t})), lambda t: 1))"

@@ -246,7 +246,7 @@ def _unwind(frame: Frame, spec: Any, context: Context) -> Frame:
 
 
 def _window(frame: Frame, spec: Any, context: Context) -> Frame:
-    return frame.but(frame.df.withColumns(set_window_fields(spec, frame.df.schema, frame.variables, frame.keys)))
+    return frame.but(set_window_fields(frame.df, spec, frame.variables, frame.keys))
 
 
 # --- lookup ------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Stages, expressions, accumulators, lookups and windows on small documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions.errors import EngineError
 from lodestone.operators.expressions import Scope, compile_expr, register_expr_op
@@ -208,6 +209,37 @@ def test_frames_are_clamped(db, name, lo, hi):
         assert got[i] == want, (i, frame)
 
 
+@pytest.mark.parametrize("sort", [{"t": 1}, {"d": -1, "q": 1}, {"t": -1}, None])
+def test_windows_without_partition_equal_one_partition(spark, db, sort):
+    """Ties, a value of a third of the rows, nulls and not-a-numbers; ranges must not change any value."""
+    n = 1200
+    k = F.col("id")
+    hot = F.when(k % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), (k % 97).cast("string")))
+    real = F.when(k % 11 == 0, None).when(k % 13 == 0, float("nan")).otherwise(k * 31 % 1000 / 8)
+    docs = db.register("w", spark.range(n).select((k * 7919 % n).alias("k"), hot.alias("t"), real.alias("d"), (k % 5).alias("q"), F.lit(1).alias("one")), order=["k"])
+    output = {"place": {"$documentNumber": {}}, "rank": {"$rank": {}}, "first": {"$first": "$t"}}
+    frames = [["unbounded", "unbounded"], ["unbounded", "current"], ["unbounded", -3], [2, "unbounded"], [-2, 1], [300, 310], [2, 1]]
+    for i, frame in enumerate(frames):
+        output |= {f"{name[1:]}{i}": {name: "$q" if name in ("$sum", "$avg") else "$d", "window": {"documents": frame}} for name in ("$sum", "$avg", "$min", "$max", "$first", "$last")[i % 2 :: 2]}
+    spec = {"output": output} | ({"sortBy": sort} if sort else {})
+    got = docs.aggregate([{"$setWindowFields": spec}])
+    want = docs.aggregate([{"$setWindowFields": spec | {"partitionBy": "$one"}}])
+    assert got.columns == want.columns
+    assert [repr(r) for r in got.orderBy("k").collect()] == [repr(r) for r in want.orderBy("k").collect()]
+
+
+def test_windows_without_partition_stay_distributed(spark, db):
+    docs = db.register("w", spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("s")), order=["k"])
+    plan = docs.aggregate([{"$setWindowFields": {"sortBy": {"s": -1}, "output": {"n": {"$documentNumber": {}}, "w": {"$sum": "$k", "window": {"documents": [-1, 1]}}}}}])._jdf.queryExecution().executedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if " Window " in line and "sum(__wn" not in line]
+    assert over_rows and all("[__wb#" in line or "[__wx#" in line for line in over_rows)
+
+
+def test_windows_of_an_empty_table(spark, db):
+    docs = db.register("w", spark.createDataFrame([], "k bigint, s string"), order=["k"])
+    assert docs.aggregate([{"$setWindowFields": {"sortBy": {"s": 1}, "output": {"r": {"$rank": {}}, "w": {"$avg": "$k", "window": {"documents": [-1, 1]}}, "n": {"$documentNumber": {}}}}}]).collect() == []
+
+
 def test_window_errors(people):
     for output in ({"$median": "$v"}, {"$sum": "$v", "window": {"range": [0, 1]}}, {"$sum": "$v", "window": {"documents": [3, 1]}}):
         with pytest.raises(EngineError):
