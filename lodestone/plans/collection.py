@@ -71,15 +71,19 @@ def deadline(spark: SparkSession, max_time_ms: int | None):
     if not max_time_ms:
         yield
         return
-    sc, tag, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+    sc, tag, late, done = spark.sparkContext, uuid.uuid4().hex, threading.Event(), threading.Event()
 
     def cancel() -> None:
+        if done.wait(max_time_ms / 1000):
+            return
         late.set()
         sc.cancelJobsWithTag(tag)
+        while not done.wait(0.1):  # a job may start only now, after a long planning
+            sc.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(max_time_ms / 1000, cancel)
+    watch = threading.Thread(target=cancel, daemon=True)
     sc.addJobTag(tag)
-    timer.start()
+    watch.start()
     try:
         yield
     except Exception as error:
@@ -87,7 +91,8 @@ def deadline(spark: SparkSession, max_time_ms: int | None):
             raise EngineError("MaxTimeMSExpired", "operation exceeded time limit") from error
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         sc.removeJobTag(tag)
     if late.is_set():
         raise EngineError("MaxTimeMSExpired", "operation exceeded time limit")

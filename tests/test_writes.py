@@ -1,5 +1,7 @@
 """Updates, deletes, upserts, unique keys, namespaces and cursors."""
 
+import time
+
 import pytest
 
 from lodestone.functions.errors import EngineError
@@ -194,9 +196,12 @@ def test_collmod(db):
 
 
 def test_deadlines(spark, db):
-    slow = spark.range(0, 1 << 38, 1, 4).selectExpr("sum(id * id % 7)")
+    slow = spark.range(0, 1 << 38, 1, 4).selectExpr("sum(id % 7 * (id % 11))")
     with pytest.raises(EngineError, match="MaxTimeMSExpired"), deadline(spark, 300):
         slow.collect()
+    with pytest.raises(EngineError, match="MaxTimeMSExpired"), deadline(spark, 50):
+        time.sleep(0.3)  # the job starts after the deadline
+        slow.collect()
     with deadline(spark, 60_000):
         assert spark.range(3).count() == 3
     for bad in ("x", -1, 1 << 40, True):
