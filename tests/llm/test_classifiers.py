@@ -217,6 +217,61 @@ def test_toxicity_of_repeated_rows_and_long_texts(spark):
     assert by[1001]["predicted"] == 0 and by[1002]["score"] > by[1001]["score"] and [r["score"] for r in got if r["doc_id"] == 1003] == [by[1003]["score"]] * 2
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Forty words mark toxic texts, each in a few rows; shards of 100 rows see only some of them."""
+    letters = "bcdfghklmnprstvwz"
+    bad = [letters[k % 17] + "a" + letters[k // 3] + "o" + letters[(5 * k) % 17] + "u" for k in range(40)]
+    rng = np.random.default_rng(8)
+    plain = [a + "e" + b + "i" + c for a in letters[:6] for b in letters[:6] for c in "xyq"]
+    rows = []
+    for i in range(1200):
+        w = rng.choice(plain, 30).tolist()
+        if i % 3 == 0:
+            w[int(rng.integers(30))] = bad[i // 3 % 40]
+        rows.append((i, " ".join(w), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.detect(df, marks, rows=100).collect()}
+    told = [r for r in got.values() if r["held_out"]]
+    caught = [r["predicted"] for r in told if r["doc_id"] % 3 == 0]
+    false = [r["predicted"] for r in told if r["doc_id"] % 3]
+    assert sum(caught) / len(caught) > 0.9 and sum(false) / len(false) < 0.05
+    again = toxicity.detect(df.repartition(5, "text"), marks.repartition(3), rows=100).collect()
+    assert all(r == got[r["doc_id"]] for r in again)
+
+
+def test_toxicity_thresholds_and_languages_come_from_every_row(spark, monkeypatch):
+    rows = [(i, ("vile " if i % 2 else "kind ") + "words", "en" if i % 4 < 2 else "de") for i in range(400)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = df.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).count()
+    judged, learned, epoch, limits = [], [], toxicity._epoch, toxicity._limits
+    monkeypatch.setattr(toxicity, "_epoch", lambda rows, *a: learned.append(rows.count()) or epoch(rows, *a))
+    monkeypatch.setattr(toxicity, "_limits", lambda rows, *a: judged.append(rows.count()) or limits(rows, *a))
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    toxicity.fit(df, marks, rows=40)
+    assert [n + judged[0] for n in learned] == [seen] * 2 and judged[0] > 0
+    few, every = langid.fit(df, rows=1), langid.fit(df, rows=None)
+    assert np.allclose(every.table, langid.fit(df, rows=400).table) and not np.allclose(every.table, few.table)
+
+
+def test_score_of_a_text_does_not_depend_on_its_neighbours(monkeypatch):
+    net = toxicity.Network(seed=3)
+    net.words *= 20
+    net.settle()
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, rng.integers(0, 60))).encode() for _ in range(300)]
+
+    def margins(raw):
+        at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        return net.margin(*toxicity.word_slots(np.frombuffer(b"".join(raw), np.uint8), at), len(raw)).tolist()
+
+    whole = margins(texts)
+    assert whole == [margins([t])[0] for t in texts] == margins(texts[::-1])[::-1]
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert margins(texts) == whole
+
+
 def test_toxicity_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.detect(spark.createDataFrame([], "doc_id long, text string, lang string"), none).count() == 0
