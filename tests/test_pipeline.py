@@ -145,6 +145,32 @@ def test_lookup_array_local_key(shop):
     assert got == {1: [10, 20], 2: [], 3: [], 4: []}
 
 
+def test_lookup_array_local_key_finds_each_document_once(spark, db):
+    docs = spark.createDataFrame([(1, [0.0, -0.0, 2.0, None, 2.0]), (2, []), (3, None), (4, [7.0])], "k int, a array<double>")
+    db.register("l", docs.withColumn("__ord", F.struct("k")), ["k"])
+    # Two documents of one place in the natural order are still two.
+    db.register("r", spark.createDataFrame([(1, 0, "x"), (1, 0, "y"), (2, 2, "z"), (3, None, "n")], "id int, v int, t string").withColumn("__ord", F.struct("id")), ["id"])
+    at = {"from": "r", "localField": "a", "foreignField": "v", "as": "o"}
+    assert {r["k"]: [o["t"] for o in r["o"]] for r in rows(db["l"].aggregate([{"$lookup": at}]))} == {1: ["x", "y", "z", "n"], 2: [], 3: [], 4: []}
+    let = at | {"let": {"q": "$k"}, "pipeline": [{"$addFields": {"m": "$$q"}}]}
+    assert {r["k"]: [o["m"] for o in r["o"]] for r in rows(db["l"].aggregate([{"$lookup": let}]))} == {1: [1, 1, 1, 1], 2: [], 3: [], 4: []}
+
+
+def test_lookup_array_local_key_gathers_in_partitions_of_the_input(spark, sf, monkeypatch):
+    from lodestone.plans import catalogue
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = catalogue.queries()["lookup_array_local_all"](spark, sf)
+    assert "REPARTITION_BY_NUM" not in plan(few)
+    monkeypatch.setattr(pipeline, "PART_BYTES", 4096)
+    many = catalogue.queries()["lookup_array_local_all"](spark, sf)
+    parts = pipeline._parts(spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/part.parquet"))
+    assert parts > 8 and f", {parts}), REPARTITION_BY_NUM" in plan(many)
+    assert sorted(many.collect()) == sorted(few.collect())
+    # Pairs are joined and gathered: no sort of whole documents to drop repeated ones.
+    assert "first(p_name" not in plan(few)
+
+
 def test_lookup_missing_collection(shop):
     assert all(r["x"] == [] for r in rows(shop["orders"].aggregate([{"$lookup": {"from": "none", "localField": "c", "foreignField": "_id", "as": "x"}}])))
 
